@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import tiff
+from . import castore, packing, tiff
 
 
 def queries() -> dict:
-    return {"op2_tiff": tiff.op2_tiff}
+    return {"op2_tiff": tiff.op2_tiff, "op3_packing": packing.op3_packing, "op8_castore": castore.op8_castore}
 
 
 def oracle_sql() -> dict[str, str]:
