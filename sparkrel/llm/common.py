@@ -103,3 +103,39 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, where=None) -> DataFrame:
+    """doc_id, text and label (long) of at most *most* labelled documents, by the order of a hash of doc_id.
+
+    Of several labels of a document the largest counts; null labels and ids are left out.  The ids are
+    bounded by *most*, so they are broadcast, and the documents are not shuffled.
+    """
+    from pyspark.sql import functions as F
+
+    rows = labels.select(F.col("doc_id"), F.col(label).cast("long").alias("label")).dropna()
+    rows = rows.groupBy("doc_id").agg(F.max("label").alias("label"))
+    if where is not None:
+        rows = rows.where(where)
+    rows = rows.orderBy(F.xxhash64("doc_id", F.lit(label)), "doc_id").limit(most)
+    return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
+
+
+def held_out(doc_id: str = "doc_id"):
+    """Whether crc32 of the id as text leaves 1 when divided by 3."""
+    from pyspark.sql import functions as F
+
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+class Memo(dict):
+    """Values of words by a function, kept while there are not too many of them."""
+
+    def __init__(self, of: Callable, most: int = 1_000_000) -> None:
+        self.of, self.most = of, most
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        value = self[key] = self.of(key)
+        return value
