@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import castore, packing, tiff, toxicity
+from . import castore, packing, quality, tiff, toxicity
 
 
 def queries() -> dict:
-    return {"op2_tiff": tiff.op2_tiff, "op3_packing": packing.op3_packing, "op7_toxicity": toxicity.op7_toxicity, "op8_castore": castore.op8_castore}
+    return {"op2_tiff": tiff.op2_tiff, "op3_packing": packing.op3_packing, "op6_quality": quality.op6_quality, "op7_toxicity": toxicity.op7_toxicity, "op8_castore": castore.op8_castore}
 
 
 def oracle_sql() -> dict[str, str]:
