@@ -54,16 +54,16 @@ class _Block:
                 yield at, ids[r], (own @ queries.T).astype(np.int64), ids[r][:, None] == self.ids[at][None, :]
 
 
-def _histograms(vectors: DataFrame, block, low, width, k: int) -> DataFrame:
-    """q, bin, n: for each query place, how many scores fall in each bin (from its *low*, of *width*)."""
+def _histograms(vectors: DataFrame, block, low, span, width, k: int) -> DataFrame:
+    """q, bin, n: for each query place, how many scores fall in each bin of *width*, from *low* on to *span* more."""
 
     def run(batches):
-        b, lo, w = block.value, low, width
+        b, lo, over, w = block.value, low, low + span, width
         counts = np.zeros((len(b.ids), BINS), np.int32)
         for batch in batches:
             for at, _, s, own in b.scores(batch):
                 bins = (s - lo[at]) // w[at]
-                good = (bins >= 0) & (bins < BINS) & ~own
+                good = (s >= lo[at]) & (s < over[at]) & ~own
                 flat = (np.arange(len(at)) * BINS)[None, :] + bins
                 counts[at] += np.bincount(flat[good], minlength=len(at) * BINS).reshape(len(at), BINS).astype(np.int32)
         down = np.cumsum(counts[:, ::-1], axis=1, dtype=np.int64)[:, ::-1]
@@ -122,9 +122,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             raise OverflowError("scores beyond 64 bits")
         block = spark.sparkContext.broadcast(_Block(np.array([r.vec_id for r in got], np.int64), own, bool((bound < 2**52).all())))
         high = bound.astype(np.int64) + 1
-        low, need, width = -high, np.full(len(got), k), (2 * high + BINS) // BINS
+        low, need, span = -high, np.full(len(got), k), 2 * high + 1
         while True:
-            sums = _histograms(rows, block, low, width, k).groupBy("q", "bin").agg(F.sum("n").alias("n"))
+            width = np.maximum(1, (span + BINS - 1) // BINS)
+            sums = _histograms(rows, block, low, span, width, k).groupBy("q", "bin").agg(F.sum("n").alias("n"))
             above = F.coalesce(F.sum("n").over(W.partitionBy("q").orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
             goal = spark.createDataFrame(list(enumerate(need.tolist())), "of int, wanted long")
             # One row a query: the bin where the running count reaches what is needed.
@@ -136,9 +137,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                 need[q] -= n
             # With fewer candidates than k all are kept.
             low[~hit] = -high[~hit]
-            if (width[hit] == 1).all():
+            if (width[hit] <= 1).all():
                 break
-            width = np.where(hit, (width + BINS - 1) // BINS, 1)
+            span = np.where(hit, width, 0)
         _kept(rows, block, low, k).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(out)
         block.unpersist()
         any_ = True
