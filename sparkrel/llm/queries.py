@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import castore, mixing, packing, quality, simhash, tiff, topk, toxicity, warc
+from . import castore, lines, mixing, packing, quality, simhash, tiff, topk, toxicity, warc
 
 
 def queries() -> dict:
-    return {"op1_warc": warc.op1_warc, "op2_tiff": tiff.op2_tiff, "op3_packing": packing.op3_packing, "op5_topk": topk.op5_topk, "op6_quality": quality.op6_quality, "op7_toxicity": toxicity.op7_toxicity, "op8_castore": castore.op8_castore, "op9_simhash": simhash.op9_simhash, "op10_mixing": mixing.op10_mixing}
+    return {"op1_warc": warc.op1_warc, "op2_tiff": tiff.op2_tiff, "op3_packing": packing.op3_packing, "op4_lines": lines.op4_lines, "op5_topk": topk.op5_topk, "op6_quality": quality.op6_quality, "op7_toxicity": toxicity.op7_toxicity, "op8_castore": castore.op8_castore, "op9_simhash": simhash.op9_simhash, "op10_mixing": mixing.op10_mixing}
 
 
 #: Responses and revisits; the archives themselves are beyond SQL.
