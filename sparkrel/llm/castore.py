@@ -406,7 +406,7 @@ def read_digests(manifest: DataFrame) -> DataFrame:
     """
     stored = chunks(manifest).withColumnsRenamed({"n": "stored_n", "name": "stored_name"})
     rows = recipe_rows(manifest)
-    joined = rows.join(stored, (rows["name"] == stored["stored_name"]) & (rows["n"] == stored["stored_n"]), "left")
+    joined = rows.join(stored.hint("merge"), (rows["name"] == stored["stored_name"]) & (rows["n"] == stored["stored_n"]), "left")
     joined = joined.select("file", "place", "doc_id", "start", "n_tokens", "n_chunks", "crc", "after")
 
     def run(batches):
@@ -437,7 +437,7 @@ def read_ids(manifest: DataFrame) -> DataFrame:
 
     stored = map_batches(_spread(src), "stored_name binary, body binary", run)
     rows = recipe_rows(manifest)
-    joined = rows.join(stored, rows["name"] == stored["stored_name"])
+    joined = rows.join(stored.hint("merge"), rows["name"] == stored["stored_name"])
     parts = F.sort_array(F.collect_list(F.struct((-F.col("after")).alias("at"), "body")))
     docs = joined.groupBy("file", "place", "doc_id", "start").agg(parts.alias("parts"))
     return docs.select("doc_id", "start", F.expr("unhex(concat_ws('', transform(parts, p -> hex(p.body))))").alias("ids"))

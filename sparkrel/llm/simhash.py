@@ -245,3 +245,23 @@ def op9_simhash(spark, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and near-duplicate group."""
     found = groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Ids of so many documents to remove (8 bytes each) are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def dedup(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
+    """*docs* with one document of each near-duplicate group: the one with the smallest doc_id.
+
+    Of rows that share a doc_id one stays.  Rows without a doc_id cannot be told apart by it, and stay.
+    """
+    found = stored(groups(docs, width, seed), "simhash-groups")
+    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "simhash-gone")
+    few = gone.count() <= BROADCAST_ROWS
+    kept = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    twice = stored(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice")), "simhash-twice")
+    if twice.isEmpty():
+        return kept
+    again = kept.join(twice, kept["doc_id"] == twice["__twice"], "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(twice, kept["doc_id"] == twice["__twice"], "left_anti").unionByName(again)

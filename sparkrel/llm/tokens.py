@@ -11,14 +11,15 @@ from __future__ import annotations
 
 import sys
 from array import array
-from itertools import chain
 
 import numpy as np
 
 #: Pieces kept in a worker at most; beyond it the store starts anew. It changes speed only.
-KEPT = 800_000
+KEPT = 1_000_000
 #: Longer pieces are encoded each time.
 LONG = 40
+#: Marks that the splitting pattern keeps apart from the letters before them.
+MARKS = ".,;:!?|*#$%&()[]{}<>/\\+=~^_@\"-"
 
 _encoders: dict = {}
 
@@ -30,6 +31,18 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+class _Known(dict):
+    """Ids of words; an unknown word is noted and stands as None until its ids are known."""
+
+    def __init__(self, before: str) -> None:
+        self.before, self.asked, self.whole = before, [], False
+
+    def __missing__(self, word: str) -> None:
+        if not word or word[0].isspace() or word[-1].isspace():
+            self.whole = True
+        self.asked.append(word)
+
+
 class Encoder:
     def __init__(self, path: str) -> None:
         import os
@@ -39,11 +52,13 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.first: dict[str, bytes] = {}  # words at the start of a line
-        self.after: dict[str, bytes] = {}  # words after one space
+        self.first, self.after = _Known(""), _Known(" ")  # at the start of a line; after one space
+        self.marks: dict[str, bytes] = {}
         self.line = self._library(["\n"])[0]
 
     def _library(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
         code = "H" if self.dtype.itemsize == 2 else "I"
         found = [array(code, e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         if sys.byteorder == "big":
@@ -53,42 +68,59 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian, of ``self.dtype``."""
-        cut = [[line.split(" ") for line in text.split("\n")] for text in texts]
-        lines = [line for text in cut for line in text]
-        heads, rest = {line[0] for line in lines}, set(chain.from_iterable(line[1:] for line in lines))
         if len(self.first) + len(self.after) > KEPT:
-            self.first, self.after = {}, {}
-        first, long_first = self._learn(self.first, heads, "")
-        after, long_after = self._learn(self.after, rest, " ")
-        if long_first or long_after:
-            first, after = self.first | long_first, self.after | long_after
-        get, out, whole = after.__getitem__, [], []
-        for i, text in enumerate(cut):
-            parts = []
-            try:
-                for line in text:
-                    parts.append(first[line[0]])
-                    parts.extend(map(get, line[1:]))
-                    parts.append(self.line)
-                parts.pop()
-                out.append(b"".join(parts))
-            except KeyError:
+            self.first.clear()
+            self.after.clear()
+        first, after, line_end = self.first, self.after, self.line
+        get, docs, whole = after.__getitem__, [], []
+        for i, text in enumerate(texts):
+            first.whole = after.whole = False
+            asked = len(first.asked), len(after.asked)
+            parts, heads = [], []
+            for line in text.split("\n"):
+                words = line.split(" ")
+                heads.append(len(parts))
+                parts.append(first[words[0]])
+                parts.extend(map(get, words[1:]))
+                parts.append(line_end)
+            parts.pop()
+            if first.whole or after.whole:
+                del first.asked[asked[0] :], after.asked[asked[1] :]
                 whole.append(i)
-                out.append(b"")
+                parts = heads = ()
+            docs.append((parts, heads))
+        firsts, afters = iter(self._learn(first)), iter(self._learn(after))
+        out = []
+        for parts, heads in docs:
+            if None in parts:
+                starts = set(heads)
+                for i, x in enumerate(parts):
+                    if x is None:
+                        parts[i] = next(firsts) if i in starts else next(afters)
+            out.append(b"".join(parts))
         whole = [i for i in whole if texts[i]]
-        for i, ids in zip(whole, self._library([texts[i] for i in whole]) if whole else (), strict=True):
+        for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out
 
-    def _learn(self, kept: dict[str, bytes], words: set[str], before: str) -> tuple[dict[str, bytes], dict[str, bytes]]:
-        """Encode the words not yet known; a word that is empty or has white space at an edge stays unknown."""
-        new = [w for w in words - kept.keys() if w and not w[0].isspace() and not w[-1].isspace()]
-        if not new:
-            return kept, {}
-        found = dict(zip(new, self._library([before + w for w in new]), strict=True))
-        long = {w: found.pop(w) for w in new if len(w) > LONG}
-        kept |= found
-        return kept, long
+    def _learn(self, known: _Known) -> list[bytes]:
+        """The ids of the words asked for, in that order; all but long ones are known from then on.
+
+        Marks after letters are pieces of their own, so the letters' ids serve with any marks.
+        """
+        asked, known.asked = known.asked, []
+        split = {w: w if w.isalpha() else core if (core := w.rstrip(MARKS)).isalpha() else w for w in dict.fromkeys(asked)}
+        new = [w for w in dict.fromkeys(split.values()) if w not in known]
+        found = dict(zip(new, self._library([known.before + w for w in new]), strict=True))
+        marks = [m for m in {w[len(c) :] for w, c in split.items()} if m not in self.marks]
+        if len(self.marks) > 100_000:
+            self.marks, marks = {}, list({w[len(c) :] for w, c in split.items()})
+        self.marks.update(zip(marks, self._library(marks), strict=True))
+        for word, core in split.items():
+            if word != core:
+                found[word] = (found[core] if core in found else known[core]) + self.marks[word[len(core) :]]
+        known.update((w, x) for w, x in found.items() if len(w) <= LONG)
+        return [found[w] if w in found else known[w] for w in asked]
 
 
 def default_path() -> str:
