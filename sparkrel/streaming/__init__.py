@@ -1 +1 @@
-
+"""Streams are outside the dialect: it has no stream sources, windows or watermarks, so nothing is here."""
