@@ -1,0 +1,108 @@
+"""Quality and toxicity models: their mathematics, held-out accuracy, odd input."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sparkrel.llm import quality, toxicity
+from sparkrel.llm.common import Memo
+
+MIDDLE = "/root/testdata/sf0.01"
+
+
+# ---------------------------------------------------------------- quality
+
+
+def test_ordinal_fit_recovers_three_grades():
+    rng = np.random.default_rng(0)
+    x, w = rng.normal(size=(3000, 4)), np.array([2.0, -1.0, 0.5, 0.0])
+    y = np.digitize(x @ w + rng.logistic(size=3000), [-1.0, 1.5]) * 10
+    model = quality.fit([np.arange(4)] * 3000, list(x), y, rounds=400, ridge=1e-6)
+    assert model.grades == [0, 10, 20] and np.allclose(model.weights[:4], w, atol=0.25) and np.allclose(model.thresholds, [-1.0, 1.5], atol=0.25)
+    f = x @ model.weights[:4]
+    p = model.at_most(f)
+    assert (p[:, 0] <= p[:, 1]).all() and np.allclose(model.tail(f, 20), 1 - p[:, 1]) and (model.tail(f, 0) == 1).all() and (model.tail(f, 30) == 0).all()
+    assert np.allclose(model.expected(f), 10 * (p[:, 1] - p[:, 0]) + 20 * (1 - p[:, 1]))
+
+
+def test_quality_on_held_out_rows(spark):
+    docs, labels = spark.read.parquet(f"{MIDDLE}/documents.parquet"), spark.read.parquet(f"{MIDDLE}/labels.parquet")
+    kept = quality.score(docs.select("doc_id", "text"), labels.where("doc_id % 2 = 0")).select("doc_id", "tail_probability")
+    rows = kept.join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
+    right = sum((r.tail_probability >= 0.5) == (r.quality == 1) for r in rows)
+    good = [r for r in rows if r.quality == 1]
+    assert right / len(rows) > 0.95 and sum(r.tail_probability >= 0.5 for r in good) / len(good) > 0.98
+
+
+def test_quality_on_odd_tables(spark):
+    docs = spark.createDataFrame([(1, "good plain words here", 1, 0.5), (2, "BAD!! BAD!! BAD!!", 2, 0.5), (3, None, 3, 0.5), (4, "", 4, 0.5), (None, "good plain words here", 5, 0.5), (6, "good plain words here " * 50_000, 6, 0.5)], "doc_id long, text string, expected_grade int, tail_probability double")
+    more = docs.union(spark.createDataFrame([(100 + i, "fine words in a line" if i % 2 else "JUNK!! JUNK!! ###", 0, 0.0) for i in range(60)], docs.schema))
+    labels = spark.createDataFrame([(100 + i, i % 2) for i in range(60)] + [(1, None), (None, 1), (101, 0)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.score(more, labels).collect()}
+    assert len(got) == 66 and got[2]["tail_probability_"] < 0.5 < got[1]["tail_probability_"] and got[None]["tail_probability_"] == got[1]["tail_probability_"]
+    assert got[3]["tail_probability_"] == got[4]["tail_probability_"] and all(0 <= r["expected_grade_"] <= 1 for r in got.values())
+    kept = quality.select(more, labels)
+    assert kept.columns == more.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r["tail_probability_"] >= 0.5}
+    assert quality.score(docs.limit(0), labels.limit(0)).count() == 0
+    none = quality.score(docs, labels.limit(0)).collect()
+    assert all(r["expected_grade_"] is None and r["tail_probability_"] == 1 for r in none)
+
+
+# ---------------------------------------------------------------- toxicity
+
+
+def test_counts_are_of_different_neighbours(spark):
+    df = spark.createDataFrame([("a b. A b", 1), ("a b", 1), ("c b", 0), ("", 0), (None, 0)], "text string, label long")
+    got = {(r.label, r.word): r.n for r in toxicity.counts(df).collect()}
+    assert got == {(1, "a"): 2, (1, "b"): 1, (0, "c"): 1, (0, "b"): 1}
+
+
+def test_ratios_against_the_formula():
+    words = {"badword": (0, 30), "usual": (300, 30), "rare": (0, 1), "plain": (700, 69)}
+    m = toxicity.Model(words, {"badw": (0, 30), "usua": (300, 30), "rare": (0, 1), "plai": (700, 69)})
+    assert m.ratio("badword,") > 3 and m.ratio("badwords") > 2 and abs(m.ratio("usual")) < 0.3 and m.ratio("never") == 0 and m.ratio("rare") == 0
+    # One level by hand: discounts in proportion to class size, equal shares to what is shared below.
+    n, total = np.array([[0, 30], [970, 70]], float), np.array([970.0, 100.0])
+    r = toxicity.Model._ratios({"x": (0, 30), "y": (970, 70)}, 1.0, {})
+    kept = np.maximum(n - total / 100, 0)
+    shared = (n.sum(axis=1) + 0.5) / (total.sum() + 1)
+    p = 0.6 * kept / kept.sum(axis=0) + 0.4 * shared[:, None]
+    assert r["x"] == pytest.approx(math.log(p[0, 1] / p[0, 0])) and r["y"] == pytest.approx(math.log(p[1, 1] / p[1, 0]))
+
+
+def test_statistic_ignores_length_and_copies():
+    memo = Memo({"bad": 4.0, "worse": 5.0}.get, 100)
+    memo.of = lambda w: {"bad": 4.0, "worse": 5.0}.get(toxicity.expression(w), 0.0)
+    short = toxicity.statistic("bad, worse.", memo, 2)
+    long = toxicity.statistic("word " * 5000 + "bad worse", memo, 2)
+    assert abs(short - 4.5) < 0.06 and abs(long - 4.5) < 0.06 and toxicity.statistic("bad bad. bad! " * 50, memo, 2) < 2.5 and toxicity.statistic("", memo, 2) == 0
+
+
+def test_toxicity_on_held_out_rows(spark):
+    got = toxicity.op7_toxicity(spark, "/root/testdata/sf0.1")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    rows = got.where("held_out").join(labels, "doc_id").collect()
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
+    toxic, fine = [r for r in rows if r.toxic], [r for r in rows if not r.toxic]
+    # Some junk documents are labelled toxic without holding any toxic expression.
+    clear = [r for r in toxic if r.quality == 1]
+    assert sum(r.predicted for r in clear) / len(clear) > 0.95
+    assert sum(r.predicted for r in fine) / len(fine) < 0.01
+
+
+def test_toxicity_on_odd_tables(spark):
+    rng = random.Random(0)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choices(words, k=20)) + (" vile nasty " + rng.choice(words) if i % 3 == 0 else ""), 0.0) for i in range(300)]
+    rows += [(1000, None, 0.0), (1001, "", 0.0), (None, "vile w1 nasty", 0.0), (1003, "w2 " * 100_000 + "nasty vile", 0.0), (1003, "w2", 0.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxicity double")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)] + [(None, 1), (1000, None)], "doc_id long, toxic int")
+    got = toxicity.score(docs, labels)
+    assert got.columns == [*docs.columns, "toxicity_"]
+    x = {(r.doc_id, len(r.text or "")): r["toxicity_"] for r in got.collect()}
+    assert len(x) == 305 and x[(None, 13)] > 0.7 and x[(1003, 300_010)] > 0.7 and x[(1003, 2)] < 0.3 and x[(1000, 0)] == x[(1001, 0)] < 0.3
+    assert {r["toxicity_"] for r in toxicity.score(docs, labels.where("toxic = 0")).collect()} == {0.5}
+    assert toxicity.score(docs.limit(0), labels).count() == 0 and toxicity.score(docs, labels.limit(0)).where(F.col("toxicity_") != 0.5).count() == 0
