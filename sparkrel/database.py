@@ -45,7 +45,8 @@ def _translated():
 class Database:
     """A store under *path* (made if it is not there), or, without one, attached tables alone."""
 
-    def __init__(self, path: str | None = None, spark: SparkSession | None = None) -> None:
+    def __init__(self, path: str | None = None, spark: SparkSession | None = None, *, buffer_capacity: int | None = None) -> None:
+        """*buffer_capacity* is accepted and not used: Spark and the system cache pages."""
         self.spark = spark or get_session()
         for k, v in SETTINGS.items():
             if self.spark.conf.get(k, None) != v:
@@ -159,6 +160,12 @@ class Database:
             for x in [name] if name else self.tables():
                 self.store.compact(x)
 
+    def load(self, name: str, frame: DataFrame) -> int:
+        """Add all rows of a DataFrame to a table, with every check; the number of rows."""
+        self._open()
+        with _translated():
+            return dml.load(self._own(), name, frame)
+
     def _select(self, stmt: n.Select) -> bind.Plan:
         with _translated():
             return bind.select(stmt, *self._source(stmt.table))

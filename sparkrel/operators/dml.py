@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ConstraintError, EngineError, StorageError
-from ..functions.types import Kind, coerce, stored
+from ..functions.types import Kind, coerce, kind_of, stored
 from ..plans.bind import NULL, ROW, Scope, Typed, truth
 from ..sources.store import Store, Table
 from ..sql import nodes as n
@@ -109,6 +109,30 @@ def _check(t: Table, after: DataFrame, changed: set[str]) -> None:
             raise ConstraintError(f"{c.name} would not be unique")
 
 
+def load(store: Store, name: str, frame: DataFrame) -> int:
+    """Add a DataFrame's rows to a table in one step; its columns are named as the table's, in any order.
+
+    The rows are written once, checked as written, and only then become part of the table.
+    """
+    t = store.table(name)
+    if sorted(frame.columns) != sorted(t.kinds):
+        raise ConstraintError(f"columns differ from {name}'s")
+    cells = [stored(F.col(f"`{c}`"), kind_of(frame.schema[c].dataType), k).alias(c) for c, k in t.kinds.items()]
+    folder = store.stage(frame.select((F.monotonically_increasing_id() + t.next_row).alias(ROW), *cells))
+    new = store.staged(t, folder)
+    for c in t.columns:
+        column = F.col(f"`{c.name}`")
+        if required(c) and not new.where(column.isNull()).isEmpty():
+            raise ConstraintError(f"{c.name} must not be NULL")
+        if single(c):
+            both = new.select(column).unionAll(store.scan(t).select(column)).where(column.isNotNull())
+            if not both.groupBy(column).count().where("count > 1").isEmpty():
+                raise ConstraintError(f"{c.name} would not be unique")
+    before = t.count
+    store.extend(t, folder)
+    return t.count - before
+
+
 def delete(store: Store, stmt: n.Delete) -> int:
     t = store.table(stmt.table)
     rows, hit = store.scan(t), _hit(t, stmt.where)

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkrel import ConstraintError, Database, EngineError, ParseError, StorageError, TransactionError, TypeMismatchError
 from sparkrel.sql import nodes as n
@@ -199,6 +200,23 @@ def test_future_version_is_refused(spark, tmp_path):
         Database(str(path), spark)
 
 
+def test_load(spark, db):
+    db.execute("CREATE TABLE t (id INT PRIMARY KEY, c CHAR(3) NOT NULL, s SMALLINT); INSERT INTO t VALUES (1, 'a', 1)")
+    frame = spark.range(10, 500).selectExpr("'b' AS c", "id", "cast(id AS int) AS s")
+    assert db.load("t", frame) == 490
+    db.execute("INSERT INTO t VALUES (2, 'z', NULL)")
+    assert rows(db, "SELECT COUNT(*), SUM(s) FROM t") == [["492", str(1 + sum(range(10, 500)))]]
+    assert rows(db, "SELECT id, c FROM t LIMIT 2") == [["1", "a  "], ["10", "b  "]] and rows(db, "SELECT id FROM t OFFSET 491") == [["2"]]
+    for bad, error in [("id - 9 AS id, 'b' AS c, 1 AS s", ConstraintError), ("id + 1000 AS id, NULLIF('b', 'b') AS c, 1 AS s", ConstraintError), ("1000 AS id, 'b' AS c, 1 AS s", ConstraintError), ("id + 1000 AS id, 'long' AS c, 1 AS s", TypeMismatchError), ("id + 1000 AS id, 'b' AS c, 99999 AS s", TypeMismatchError), ("id", ConstraintError)]:
+        with pytest.raises(error):
+            db.load("t", spark.range(10, 20).selectExpr(*bad.split(", ") if "NULLIF" not in bad else ["id + 1000 AS id", "NULLIF('b', 'b') AS c", "1 AS s"]))
+    assert rows(db, "SELECT COUNT(*) FROM t") == [["492"]]
+    db.begin()
+    db.load("t", spark.range(1000, 1005).selectExpr("id", "'q' AS c", "NULL AS s").withColumn("s", F.col("s").cast("int")))
+    db.rollback()
+    assert rows(db, "SELECT COUNT(*) FROM t") == [["492"]]
+
+
 # ---------------------------------------------------------------- queries
 
 
