@@ -116,7 +116,8 @@ def _tokenized(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int],
         width = enc.dtype.itemsize
         for batch in batches:
             all_texts, doc_ids = texts(batch), column(batch, "doc_id").to_pylist()
-            for lo, hi in slices(all_texts):
+            # Runs small enough that the rolling hash stays in the processor's cache.
+            for lo, hi in slices(all_texts, 500_000):
                 found = enc.encode(all_texts[lo:hi])
                 n = np.fromiter(map(len, found), np.int64, len(found)) // width + 1
                 raw = end.join([*found, b""])
@@ -129,12 +130,12 @@ def _tokenized(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int],
                 once = dict(zip(names, range(len(names)), strict=True))
                 at = list(once.values())
                 yield _rows([int.from_bytes(x[:4], "little") % packs for x in once], list(once), [None] * len(at), sizes[at].astype(np.int64), [raw[width * starts[i] : width * ends[i]] for i in at])
-                slots, bodies, c = [], [], 0
-                for i, k in zip(range(lo, hi), counts.tolist(), strict=True):
-                    own = names[c : c + k]
-                    slots.append(packs + (0 if doc_ids[i] is None else int(np.searchsorted(limits, doc_ids[i], "right"))))
-                    bodies.append(b"".join(x + s for x, s in zip(own, (s.tobytes() for s in sizes[c : c + k]), strict=True)))
+                listed, bodies, c = [x + s.tobytes() for x, s in zip(names, sizes, strict=True)], [], 0
+                for k in counts.tolist():
+                    bodies.append(b"".join(listed[c : c + k]))
                     c += k
+                known = np.array([-(1 << 63) if x is None else x for x in doc_ids[lo:hi]], np.int64)
+                slots = packs + np.searchsorted(limits, known, "right")
                 yield _rows(slots, [None] * len(slots), doc_ids[lo:hi], n, bodies)
 
     return map_batches(src, "slot int, name binary, doc_id long, n long, body binary", run)
