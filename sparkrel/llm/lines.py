@@ -26,14 +26,20 @@ LIMIT, LEAST = 2, 30
 BROADCAST_ROWS = 1_000_000
 #: A line that makes over this share of all lines emits its keys once only; there are at most so many such lines.
 HOT = 1000
-#: Letters whose counts are compared before texts are: common ones in alphabetic writing.
-LETTERS = "entiarsoh"[:8]
+#: Letters whose counts are compared before texts are, in two eights: common ones in alphabetic writing.
+LETTERS = ("entiarso", "hldcumgb")
+
+
+def normal(line: Column) -> Column:
+    """Lower case, without blanks at the ends; tabs and carriage returns are blanks."""
+    # `replace` leaves most lines as they are, at the cost of a search; `translate` would rebuild each.
+    return F.lower(F.trim(F.replace(F.replace(line, F.lit("\r"), F.lit(" ")), F.lit("\t"), F.lit(" "))))
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no (from 0), line (normalised), id (its hash), n (characters): the lines that are not blank."""
     rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    rows = rows.withColumn("line", F.lower(F.trim(F.translate("line", "\r\t", "  ")))).where("line <> ''")
+    rows = rows.withColumn("line", normal(F.col("line"))).where("line <> ''")
     return rows.withColumns({"id": F.xxhash64("line"), "n": F.length("line")})
 
 
@@ -52,23 +58,25 @@ def _keys(lines: DataFrame, limit: int) -> DataFrame:
             for off in range(low, high + 1):
                 role = 3 if d == 0 and off == 0 else 2
                 at = f"{start} + {off}"
-                made.append(f"if({at} >= 0 and {at} + {size} <= n, named_struct('key', xxhash64({i}, n - {d}, substring(line, {at} + 1, {size})), 'role', {role}), null)")
-    wide = lines.withColumns(helpers)
-    return wide.select(*lines.columns, F.explode(F.expr(f"array_compact(array({', '.join(made)}))")).alias("k")).select(*lines.columns, "k.key", "k.role")
+                made.append(f"if({at} >= 0 and {at} + {size} <= n, named_struct('key', xxhash64({i}, n - {d}, substring(wide, 4 * ({at}) + 1, 4 * {size})), 'role', {role}), null)")
+    # Four bytes a character, so that segments are found without walking the line.  The outer explode keeps the
+    # planner from filtering on the array first, which would compute every key twice.
+    wide = lines.withColumns(helpers).withColumn("wide", F.encode("line", "UTF-32"))
+    return wide.select(*lines.columns, F.expr(f"array({', '.join(made)})").alias("ks")).select(*lines.columns, F.explode_outer("ks").alias("k")).select(*lines.columns, "k.key", "k.role").where("key is not null")
 
 
-def _letters() -> Column:
+def _letters(letters: str) -> Column:
     """Counts of eight letters, a byte each."""
-    count = lambda c: F.least(F.lit(255), F.length("line") - F.length(F.translate("line", c, ""))).cast("long")
+    count = lambda c: F.least(F.lit(255), F.octet_length("line") - F.octet_length(F.replace("line", F.lit(c), F.lit("")))).cast("long")
     total = F.lit(0).cast("long")
-    for i, c in enumerate(LETTERS):
+    for i, c in enumerate(letters):
         total = total.bitwiseOR(F.shiftleft(count(c), 8 * i))
     return total
 
 
-def _close(a: str, b: str, limit: int) -> Column:
-    """Whether letter counts differ by 2 * limit at most, as they must within *limit* edits."""
-    each = [f"abs((shiftrightunsigned({a}, {8 * i}) & 255) - (shiftrightunsigned({b}, {8 * i}) & 255))" for i in range(len(LETTERS))]
+def _close(pairs: list[tuple[str, str]], limit: int) -> Column:
+    """Whether letter counts differ by 2 * limit at most in all, as they must within *limit* edits."""
+    each = [f"abs((shiftrightunsigned({a}, {8 * i}) & 255) - (shiftrightunsigned({b}, {8 * i}) & 255))" for a, b in pairs for i in range(8)]
     return F.expr(f"{' + '.join(each)} <= {2 * limit}")
 
 
@@ -156,10 +164,10 @@ def links(docs: DataFrame, limit: int = LIMIT, least: int = LEAST) -> tuple[Data
     many = shared.where("rows > 2").select(F.col("key").alias("of"))
     if many.count() <= BROADCAST_ROWS:
         many = F.broadcast(many)
-    members = _keys(lines.withColumn("letters", _letters()), limit).join(many, F.col("key") == F.col("of"), "left_semi")
-    members = stored(members.groupBy("key", "id", "letters").agg(F.bit_or("role").alias("role")), "line-members")
-    left, right = members.select(F.col("key").alias("key_a"), F.col("id").alias("a"), F.col("letters").alias("la"), F.col("role").alias("ra")), members.select("key", F.col("id").alias("b"), F.col("letters").alias("lb"), F.col("role").alias("rb"))
-    found = left.join(right, (F.col("key_a") == F.col("key")) & (F.col("a") < F.col("b")) & F.expr("(ra & 1) + (rb & 1) > 0") & _close("la", "lb", limit))
+    members = _keys(lines, limit).join(many, F.col("key") == F.col("of"), "left_semi").withColumns({"l0": _letters(LETTERS[0]), "l1": _letters(LETTERS[1])})
+    members = stored(members.groupBy("key", "id", "l0", "l1").agg(F.bit_or("role").alias("role")), "line-members")
+    left, right = members.select(F.col("key").alias("key_a"), F.col("id").alias("a"), F.col("l0").alias("a0"), F.col("l1").alias("a1"), F.col("role").alias("ra")), members.select("key", F.col("id").alias("b"), F.col("l0").alias("b0"), F.col("l1").alias("b1"), F.col("role").alias("rb"))
+    found = left.join(right, (F.col("key_a") == F.col("key")) & (F.col("a") < F.col("b")) & F.expr("(ra & 1) + (rb & 1) > 0") & _close([("a0", "b0"), ("a1", "b1")], limit))
     pairs = stored(pairs.union(found.select("a", "b")).distinct(), "line-pairs")
     ids = stored(pairs.select(F.col("a").alias("of")).union(pairs.select(F.col("b").alias("of"))).distinct(), "line-ids")
     if ids.count() <= BROADCAST_ROWS:
@@ -201,7 +209,7 @@ def dedup(docs: DataFrame, limit: int = LIMIT, least: int = LEAST) -> DataFrame:
     gone = memberships(docs, limit, least).where("not stays").groupBy(F.col("doc_id").alias("__of")).agg(F.collect_set(F.struct("line_no", F.col("line_id").alias("id"))).alias("__gone"))
     gone = stored(gone, "line-gone")
     joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__of"]), "left")
-    norm = lambda x: F.xxhash64(F.lower(F.trim(F.translate(x, "\r\t", "  "))))
+    norm = lambda x: F.xxhash64(normal(x))
     numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
     kept = F.filter(numbered, lambda s: ~F.exists("__gone", lambda g: (g.line_no == s.i) & (g.id == norm(s.x))))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda s: s.x), "\n"))
