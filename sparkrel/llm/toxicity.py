@@ -5,8 +5,9 @@ counts: how many different left neighbours an expression has, so that copies of
 the discount takes goes to the expression's stem, and from there to counts that both classes share; the
 shares that go down are equal for both classes, so an expression that is rare or as usual in either class
 tells nothing.  A document is compared over its most telling expressions: the mean of the log-likelihood
-ratio over so many of them (the length), by which long and short documents are scored alike.  A logistic
-curve, fitted on labelled documents kept apart from the counts, turns it into a probability.
+ratio over so many of their occurrences (the length), by which long and short documents are scored alike and
+one insult that is repeated tells as much as two.  A logistic curve, fitted on labelled documents kept apart
+from the counts, turns it into a probability.
 
 Counts come from labelled rows only, at most ``per_class`` of either class (by hash order), which bounds the
 model that is sent to the workers.  Scoring is a map over all documents.
@@ -15,6 +16,7 @@ model that is sent to the workers.  Scoring is a map over all documents.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -83,16 +85,21 @@ class Model:
         return self.stems.get(word[:STEM], 0.0) if found is None else found
 
 
-def statistic(text: str, memo: Memo, length: int) -> float:
-    """Mean ratio of the *length* most telling expressions, with a trace of the mean over the whole text."""
+def statistic(text: str, memo: Memo, length: int, repeats: int = 1) -> float:
+    """Mean ratio of the *length* most telling expressions, with a trace of the mean over the whole text.
+
+    An expression counts as often as it occurs, *repeats* times at most.
+    """
     words = text.lower().split()
     if not words:
         return 0.0
     telling: dict[str, float] = {}
-    for w in set(words):
+    times: Counter[str] = Counter()
+    for w, n in Counter(words).items():
         if (r := memo[w]) > 0.5:
             telling[expression(w)] = r
-    best = sorted(telling.values(), reverse=True)[:length]
+            times[expression(w)] += n
+    best = sorted((r for w, r in telling.items() for _ in range(min(repeats, times[w]))), reverse=True)[:length]
     best += [0.5] * (length - len(best))
     return sum(best) / length + 0.02 * max(-2.0, min(2.0, sum(map(memo.__getitem__, words)) / len(words)))
 
@@ -100,7 +107,7 @@ def statistic(text: str, memo: Memo, length: int) -> float:
 def _statistics(docs: DataFrame, model, length: int, name: str) -> DataFrame:
     def make():
         memo = Memo(model.value.ratio)
-        return lambda batch: [[statistic(t, memo, length) for t in texts(batch)]]
+        return lambda batch: [[statistic(t, memo, length, length) for t in texts(batch)]]
 
     return add_columns(docs, [T.StructField(name, T.DoubleType())], make)
 

@@ -106,3 +106,17 @@ def test_toxicity_on_odd_tables(spark):
     assert len(x) == 305 and x[(None, 13)] > 0.7 and x[(1003, 300_010)] > 0.7 and x[(1003, 2)] < 0.3 and x[(1000, 0)] == x[(1001, 0)] < 0.3
     assert {r["toxicity_"] for r in toxicity.score(docs, labels.where("toxic = 0")).collect()} == {0.5}
     assert toxicity.score(docs.limit(0), labels).count() == 0 and toxicity.score(docs, labels.limit(0)).where(F.col("toxicity_") != 0.5).count() == 0
+
+
+def test_one_repeated_insult_is_enough(spark):
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choices(words, k=20)) + (f" vile {rng.choice(words)} nasty {rng.choice(words)} " if i % 3 == 0 else "")) for i in range(600)]
+    rows += [(1000, "w1 w2 w3 w4 vile w5 w6 w7 Vile! w8 w9 vile, w10"), (1001, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w1 w1 w1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(600)], "doc_id long, toxic int")
+    got = {r.doc_id: r.toxicity for r in toxicity.score(docs, labels).where("doc_id >= 1000").collect()}
+    assert got[1000] >= 0.7 and got[1001] < 0.3
+    memo = Memo({"bad": 4.0}.get, 100)
+    memo.of = lambda w: {"bad": 4.0}.get(toxicity.expression(w), 0.0)
+    assert abs(toxicity.statistic("bad, word Bad! word", memo, 2, 2) - 4.0) < 0.06 and toxicity.statistic("bad word", memo, 2, 2) < 2.5
