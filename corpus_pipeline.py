@@ -19,7 +19,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that repeat an earlier one, up to 2 edits."""
+    """Texts without the lines that repeat an earlier one, up to 2 edits or a share of the words."""
     return lines.dedup(docs)
 
 

@@ -5,7 +5,13 @@ lines of at least ``least`` characters, those within ``limit`` edits are linked:
 segments of even length, one of which an edited line must still hold, near its place.  So each line indexes
 its segments by (own length, number, segment), and probes, for each shorter length that its partners may have,
 the substrings at which a segment can stand.  Candidates are verified on the whole lines by bit-parallel edit
-distance in a band of 2 * limit + 1 diagonals.  Classes are the connected components of the links; of each
+distance in a band of 2 * limit + 1 diagonals.
+
+A fixed number of edits is little in a long line.  So lines are linked as well whose sets of three-word runs
+have a Jaccard similarity of ``SHARE`` or more, where the longer has ``WORDS`` words and the shorter ``SHARE``
+of its words at least; what may differ grows with the line.  Of the smallest hashes of either set, floor((1 -
+SHARE) * runs) + MEET of them, which are a line's keys, two such sets share MEET, or all that they share if fewer.
+Classes are the connected components of the links; of each
 class the first line (by doc_id, then line number) stays.
 
 Texts are never shuffled: keys and ids are, and the lines of candidates.  Keys of a single line, nearly all,
@@ -22,6 +28,10 @@ from .common import fresh, stored, table
 from .components import components
 
 LIMIT, LEAST = 2, 30
+#: Lines of so many words are linked by their runs of so many words too, at this share (a fraction) of common ones.
+WORDS, RUN, SHARE = 20, 3, (4, 5)
+#: Keys that lines must share by then: a run that is common in the language pairs many lines, three hardly any.
+MEET = 3
 #: Ids of so many lines or keys (8 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: A line that makes over this share of all lines emits its keys once only; there are at most so many such lines.
@@ -146,6 +156,61 @@ def within(a: str, b: str, limit: int) -> Column:
     return let(let(texts, tail), distance)
 
 
+def runs(line: Column) -> Column:
+    """The sorted hashes of the different runs of RUN words in *line*."""
+
+    def of(words: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.size(words) - RUN), lambda i: F.xxhash64(*[F.get(words, i + d) for d in range(RUN)]))
+        return F.when(F.size(words) >= RUN, F.sort_array(F.array_distinct(each))).otherwise(F.array().cast("array<bigint>"))
+
+    # Bound by a one-element array, so that the line is split once.
+    return F.element_at(F.transform(F.array(_words(line)), of), 1)
+
+
+def _words(line: Column) -> Column:
+    return F.array_remove(F.split(line, " "), "")
+
+
+def _run_keys(lines: DataFrame) -> DataFrame:
+    """key, id, rank (place of the key among the line's runs, from 1), size (runs), sign (a bit for the parity of runs)."""
+    top, of = SHARE
+    least = (WORDS * top + of - 1) // of
+    rows = lines.where(F.length("line") >= 2 * least - 1).select("id", F.size(_words(F.col("line"))).alias("words"), runs(F.col("line")).alias("runs")).where(f"words >= {least}")
+    rows = rows.withColumns({"size": F.size("runs"), "sign": F.aggregate("runs", F.lit(0).cast("long"), lambda x, h: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))})
+    rows = rows.withColumn("first", F.expr(f"slice(runs, 1, size - ({top} * size + {of - 1}) div {of} + {MEET})"))
+    rows = stored(rows.select("id", "words", "size", "sign", "first"), "line-runs")
+    return rows.select("id", "words", "size", "sign", F.posexplode("first").alias("rank", "key")).withColumn("rank", F.col("rank") + 1)
+
+
+def _run_pairs(lines: DataFrame) -> DataFrame:
+    """a, b: ids of lines that share enough keys of runs and are not ruled out by their numbers."""
+    top, of = SHARE
+    keys = _run_keys(lines)
+    shared = stored(keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select(F.col("key").alias("of")), "line-run-shared")
+    if shared.count() <= BROADCAST_ROWS:
+        shared = F.broadcast(shared)
+    members = stored(keys.join(shared, F.col("key") == F.col("of"), "left_semi").distinct(), "line-run-members")
+    left, right = (members.select(*[F.col(c).alias(f"{c}_{x}") for c in members.columns]) for x in "ab")
+    # Common runs are at most those up to the key and those after it on either side; each run on one side only
+    # turns a bit of the sign.
+    common = "least(rank_a, rank_b) + least(size_a - rank_a, size_b - rank_b)"
+    numbers = f"{of} * least(words_a, words_b) >= {top} * greatest(words_a, words_b) and greatest(words_a, words_b) >= {WORDS} and {top + of} * ({common}) >= {top} * (size_a + size_b)"
+    signs = f"{top + of} * bit_count(sign_a ^ sign_b) <= {of - top} * (size_a + size_b)"
+    found = left.join(right, (F.col("key_a") == F.col("key_b")) & (F.col("id_a") < F.col("id_b")) & F.expr(numbers) & F.expr(signs))
+    met = found.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.first(F.greatest("size_a", "size_b")).alias("size"))
+    return met.where(f"met >= least({MEET}, ({top} * size + {of - 1}) div {of})").select("a", "b")
+
+
+def similar(a: str, b: str) -> Column:
+    """Whether columns *a* and *b* are near by their runs of words."""
+    top, of = SHARE
+    n, m = F.size(_words(F.col(a))), F.size(_words(F.col(b)))
+    long = (F.greatest(n, m) >= WORDS) & (F.least(n, m) * of >= F.greatest(n, m) * top)
+    sets = F.array(F.struct(runs(F.col(a)).alias("x"), runs(F.col(b)).alias("y")))
+    near = F.element_at(F.transform(sets, lambda s: F.size(F.array_intersect(s.x, s.y)) * (top + of) >= (F.size(s.x) + F.size(s.y)) * top), 1)
+    return long & near
+
+
 def links(docs: DataFrame, limit: int = LIMIT, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(classes, links): id, first (doc_id, line_no), n of each distinct line; a, b of each link between ids."""
     all_lines = split_lines(docs)
@@ -169,12 +234,14 @@ def links(docs: DataFrame, limit: int = LIMIT, least: int = LEAST) -> tuple[Data
     left, right = members.select(F.col("key").alias("key_a"), F.col("id").alias("a"), F.col("l0").alias("a0"), F.col("l1").alias("a1"), F.col("role").alias("ra")), members.select("key", F.col("id").alias("b"), F.col("l0").alias("b0"), F.col("l1").alias("b1"), F.col("role").alias("rb"))
     found = left.join(right, (F.col("key_a") == F.col("key")) & (F.col("a") < F.col("b")) & F.expr("(ra & 1) + (rb & 1) > 0") & _close([("a0", "b0"), ("a1", "b1")], limit))
     pairs = stored(pairs.union(found.select("a", "b")).distinct(), "line-pairs")
-    ids = stored(pairs.select(F.col("a").alias("of")).union(pairs.select(F.col("b").alias("of"))).distinct(), "line-ids")
+    alike = stored(_run_pairs(lines), "line-run-pairs")
+    ids = stored(pairs.union(alike).select(F.explode(F.array("a", "b")).alias("of")).distinct(), "line-ids")
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
     texts = stored(lines.join(ids, F.col("id") == F.col("of"), "left_semi").groupBy("id").agg(F.first("line").alias("line")), "line-texts")
-    both = pairs.join(texts.select(F.col("id").alias("ia"), F.col("line").alias("x")), F.col("a") == F.col("ia")).join(texts.select(F.col("id").alias("ib"), F.col("line").alias("y")), F.col("b") == F.col("ib"))
-    verified = stored(both.where(F.expr(f"abs(length(x) - length(y)) <= {limit}")).where(within("x", "y", limit)).select("a", "b"), "line-links")
+    both = lambda of: of.join(texts.select(F.col("id").alias("ia"), F.col("line").alias("x")), F.col("a") == F.col("ia")).join(texts.select(F.col("id").alias("ib"), F.col("line").alias("y")), F.col("b") == F.col("ib"))
+    edited = both(pairs).where(F.expr(f"abs(length(x) - length(y)) <= {limit}")).where(within("x", "y", limit)).select("a", "b")
+    verified = stored(edited.union(both(alike).where(similar("x", "y")).select("a", "b")).distinct(), "line-links")
     return classes, verified
 
 

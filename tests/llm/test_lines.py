@@ -98,3 +98,40 @@ def test_query_has_every_line(spark, small):
     want = duckdb.sql(f"SELECT count(*), count(DISTINCT l) FROM (SELECT lower(trim(replace(replace(unnest(string_split(text, chr(10))), chr(13), ' '), chr(9), ' '))) l FROM '{small}/documents.parquet') WHERE l <> ''").fetchall()[0]
     got = lines.op4_lines(spark, small)
     assert tuple(got.agg(F.count("*"), F.countDistinct("line_id")).first()) == want
+
+
+def near_by_words(a, b):
+    v, w = a.split(), b.split()
+    if max(len(v), len(w)) < 20 or min(len(v), len(w)) * 5 < max(len(v), len(w)) * 4:
+        return False
+    x, y = ({tuple(t[i : i + 3]) for i in range(len(t) - 2)} for t in (v, w))
+    return len(x & y) * 5 >= len(x | y) * 4
+
+
+def test_long_lines_with_changed_words_are_linked(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randrange(3, 9))) for _ in range(60)]
+    made = ["one two " * 30, "one two " * 40, "one two " * 60, "x " * 19, "x " * 25]
+    for size in (16, 18, 20, 24, 30, 45, 90, 200):
+        for _ in range(3):
+            base = rng.choices(words, k=size)
+            made.append(" ".join(base))
+            for n in (1, 1, 2, 3, 6, 20):
+                w = list(base)
+                for _ in range(n):
+                    i = rng.randrange(len(w))
+                    w[i : i + rng.choice([0, 1, 1])] = rng.choice([[], ["thnderon"], ["thnderon", "and"]])
+                made.append("  ".join(w) if n == 2 else " ".join(w))
+    made = [x.strip() for x in made]
+    want = dict.fromkeys(made, 0)
+    for i, a in enumerate(want):
+        for b in list(want)[:i]:
+            if near_by_words(a, b) or (min(len(a), len(b)) >= 30 and abs(len(a) - len(b)) <= 2 and edits(a, b) <= 2):
+                want[a] += 1
+                want[b] += 1
+    df = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r.doc_id: r.links for r in lines.memberships(df).collect()}
+    assert got == dict(enumerate(want.values())) and sum(want.values()) > 100
+    a = " ".join(words[:50])
+    pair = spark.createDataFrame([(1, a), (2, a.replace(words[25], "thnderon"))], "doc_id long, text string")
+    assert [r.text for r in lines.dedup(pair).orderBy("doc_id").collect()] == [a, ""]
