@@ -1,8 +1,8 @@
 """Line dedup by a segment-partition edit join, in DataFrame operations only.
 
 Lines are compared in lower case without outer blanks.  Equal lines are one class by their hash.  Of different
-lines of at least ``least`` characters, those within ``limit`` edits are linked: a line is cut into limit + 1
-segments of even length, one of which an edited line must still hold, near its place.  So each line indexes
+lines, of which the longer has ``least`` characters or more, those within ``limit`` edits are linked: a line
+is cut into limit + 1 segments of even length, one of which an edited line must still hold, near its place.  So each line indexes
 its segments by (own length, number, segment), and probes, for each shorter length that its partners may have,
 the substrings at which a segment can stand.  Candidates are verified on the whole lines by bit-parallel edit
 distance in a band of 2 * limit + 1 diagonals.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import fresh, stored, table
 from .components import components
 
-LIMIT, LEAST = 2, 30
+LIMIT, LEAST = 2, 15
 #: Lines of so many words are linked by their runs of so many words too, at this share (a fraction) of common ones.
 WORDS, RUN, SHARE = 20, 3, (4, 5)
 #: Keys that lines must share by then: a run that is common in the language pairs many lines, three hardly any.
@@ -218,7 +218,7 @@ def links(docs: DataFrame, limit: int = LIMIT, least: int = LEAST) -> tuple[Data
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = classes.where(F.col("n") > max(2, total / HOT)).select(F.col("id").alias("hot"), "first")
     # At most HOT lines are that common: the broadcast is bounded.
-    lines = all_lines.where(F.col("n") >= least).join(F.broadcast(hot), F.col("id") == F.col("hot"), "left")
+    lines = all_lines.where(F.col("n") >= least - limit).join(F.broadcast(hot), F.col("id") == F.col("hot"), "left")
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))
     lines = lines.where(F.col("hot").isNull() | own).select("id", "n", "line")
     keys = _keys(lines, limit)
@@ -240,7 +240,7 @@ def links(docs: DataFrame, limit: int = LIMIT, least: int = LEAST) -> tuple[Data
         ids = F.broadcast(ids)
     texts = stored(lines.join(ids, F.col("id") == F.col("of"), "left_semi").groupBy("id").agg(F.first("line").alias("line")), "line-texts")
     both = lambda of: of.join(texts.select(F.col("id").alias("ia"), F.col("line").alias("x")), F.col("a") == F.col("ia")).join(texts.select(F.col("id").alias("ib"), F.col("line").alias("y")), F.col("b") == F.col("ib"))
-    edited = both(pairs).where(F.expr(f"abs(length(x) - length(y)) <= {limit}")).where(within("x", "y", limit)).select("a", "b")
+    edited = both(pairs).where(F.expr(f"abs(length(x) - length(y)) <= {limit} and greatest(length(x), length(y)) >= {least}")).where(within("x", "y", limit)).select("a", "b")
     verified = stored(edited.union(both(alike).where(similar("x", "y")).select("a", "b")).distinct(), "line-links")
     return classes, verified
 
@@ -250,7 +250,7 @@ def memberships(docs: DataFrame, limit: int = LIMIT, least: int = LEAST) -> Data
 
     line_id is the line's hash, class_id the least line_id that links reach; links counts the different lines
     linked to it; stays is true for the first line of its class, by doc_id (null last), then line number.  Lines
-    shorter than *least* are only equal or not.  Blank lines and null texts have no row.  Rows with one doc_id
+    are only equal or not where both are shorter than *least*.  Blank lines and null texts have no row.  Rows with one doc_id
     are one document: equal lines with one number in it count as one and stay or go together.
     """
     classes, found = links(docs, limit, least)

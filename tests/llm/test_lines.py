@@ -135,3 +135,11 @@ def test_long_lines_with_changed_words_are_linked(spark):
     a = " ".join(words[:50])
     pair = spark.createDataFrame([(1, a), (2, a.replace(words[25], "thnderon"))], "doc_id long, text string")
     assert [r.text for r in lines.dedup(pair).orderBy("doc_id").collect()] == [a, ""]
+
+
+def test_short_lines_within_two_edits_are_linked(spark):
+    texts = ["are, is anwh reenen.", "are is anwh reenen.", "then the erbles", "then the erble", "then the erb", "a line of 29 characters, here", "a line of 29 characters, heres!", "page 12", "page 13"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.links for r in lines.memberships(df).collect()}
+    long = lambda a, b: max(len(a), len(b)) >= 15 and edits(a, b) <= 2
+    assert got == {i: sum(long(a, b) for b in texts if a != b) for i, a in enumerate(texts)} and got == dict(enumerate([1, 1, 1, 1, 0, 1, 1, 0, 0]))
