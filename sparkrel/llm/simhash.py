@@ -230,15 +230,20 @@ def groups(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     Null and empty texts have fingerprint zero and are linked like any other.  Repeated rows appear each time.
     A null doc_id takes part; a group of null ids alone has a null component_id.
     """
+    return _rooted(docs, width, seed).select("doc_id", "fingerprint", "component_id")
+
+
+def _rooted(docs: DataFrame, width: int, seed: int) -> DataFrame:
+    """The columns of groups(), and root: the fingerprint that names the group."""
     prints = stored(fingerprints(docs, width, seed), "fingerprints")
     distinct = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     roots = components(links(distinct))
     placed = distinct.join(roots, distinct["fingerprint"] == roots["id"], "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     least = least.select(F.col("root").alias("of"), "component_id")
-    known = stored(placed.join(least, placed["root"] == least["of"]).select(F.col("fingerprint").alias("print"), "component_id"), "fingerprint-groups")
+    known = stored(placed.join(least, placed["root"] == least["of"]).select(F.col("fingerprint").alias("print"), "component_id", "root"), "fingerprint-groups")
     # Both sides are read from files: a fingerprint of very many copies is split by the join.
-    return prints.join(known, prints["fingerprint"] == known["print"]).select("doc_id", "fingerprint", "component_id")
+    return prints.join(known, prints["fingerprint"] == known["print"]).select("doc_id", "fingerprint", "component_id", "root")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
@@ -254,9 +259,24 @@ BROADCAST_ROWS = 1_000_000
 def dedup(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     """*docs* with one document of each near-duplicate group: the one with the smallest doc_id.
 
-    Of rows that share a doc_id one stays.  Rows without a doc_id cannot be told apart by it, and stay.
+    Of rows that share a doc_id one stays in each group.  Rows without a doc_id cannot be told apart by it, and stay.
     """
-    found = stored(groups(docs, width, seed), "simhash-groups")
+    found = stored(_rooted(docs, width, seed), "simhash-groups")
+    # An id with texts in several groups can be the smallest of one and not of another: its rows are told by text.
+    mixed = stored(found.where("doc_id is not null").groupBy(F.col("doc_id").alias("__mixed")).agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("__mixed"), "simhash-mixed")
+    if mixed.isEmpty():
+        return _dedup(docs, found)
+    apart = docs.join(mixed, docs["doc_id"] == mixed["__mixed"], "left_semi")
+    prints = fingerprints(apart.select(F.col("text").alias("doc_id"), "text").distinct(), width, seed).select(F.col("doc_id").alias("__text"), F.col("fingerprint").alias("__print"))
+    firsts = found.where("doc_id = component_id").select(F.col("doc_id").alias("__of"), F.col("fingerprint").alias("__first"), F.col("root").alias("__root")).distinct()
+    told = apart.join(prints, apart["text"].eqNullSafe(F.col("__text"))).join(firsts, (F.col("doc_id") == F.col("__of")) & (F.col("__print") == F.col("__first")))
+    told = told.dropDuplicates(["__of", "__root"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rest = docs.join(mixed, docs["doc_id"] == mixed["__mixed"], "left_anti")
+    return _dedup(rest, found.join(mixed, found["doc_id"] == mixed["__mixed"], "left_anti")).unionByName(told)
+
+
+def _dedup(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """dedup() where the rows of each doc_id are in one group."""
     gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "simhash-gone")
     few = gone.count() <= BROADCAST_ROWS
     kept = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["__gone"], "left_anti")

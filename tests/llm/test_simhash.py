@@ -159,3 +159,11 @@ def test_query(spark, small):
     r = roots(prints)
     want = {d: (f"{p:016x}", min(rows[j][0] for j in range(len(rows)) if r[j] == r[i])) for i, ((d, _), p) in enumerate(zip(rows, prints, strict=True))}
     assert {x.doc_id: (x.fingerprint, x.component_id) for x in simhash.op9_simhash(spark, small).collect()} == want
+
+
+def test_an_id_with_texts_in_two_groups(spark):
+    a, b = "first text of words that are quite its own", "another passage which has nothing at all in common"
+    rows = [(5, a), (9, a), (5, b), (2, b), (7, "a lonely third one over here"), (5, a), (None, a)]
+    kept = simhash.dedup(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, root int"))
+    assert kept.columns == ["doc_id", "text", "root"]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(5, a), (2, b), (7, "a lonely third one over here"), (None, a)], key=repr)
