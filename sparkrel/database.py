@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.errors import PySparkException
@@ -128,12 +129,22 @@ class Database:
         return [self._run(s) for s in parse(sql)]
 
     def query(self, sql: str) -> DataFrame:
-        """The DataFrame of one SELECT; nothing is computed yet."""
+        """The DataFrame of one SELECT; nothing is computed yet.  Rows come in an order only if the statement has one."""
+        return self._one(sql, False).named()
+
+    def iterate(self, sql: str) -> Iterator[list[str]]:
+        """The rows of one SELECT as ``execute`` gives them, one partition in memory at a time."""
+        plan = self._one(sql, True)
+        with _translated():
+            for r in plan.frame.toLocalIterator():
+                yield [render(v, k) for v, k in zip(r, plan.kinds, strict=True)]
+
+    def _one(self, sql: str, in_order: bool) -> bind.Plan:
         self._open()
         stmts = parse(sql)
         if len(stmts) != 1 or not isinstance(stmts[0], n.Select):
             raise EngineError("one SELECT is needed")
-        return self._select(stmts[0]).named()
+        return self._select(stmts[0], in_order)
 
     def explain(self, sql: str) -> str:
         """Spark's plan of one SELECT."""
@@ -152,13 +163,15 @@ class Database:
         self._own().rollback()
 
     def compact(self, name: str | None = None) -> None:
-        """Fold a table's log (or every table's) into one sorted snapshot; not within a transaction."""
+        """Fold a table's log (or every table's) into one sorted snapshot and remove what nothing refers to any more;
+        not within a transaction.  Frames made before over the tables' older states end with it."""
         self._open()
         if self._own().active:
             raise TransactionError("a transaction is active")
         with _translated():
             for x in [name] if name else self.tables():
                 self.store.compact(x)
+            self.store.sweep()
 
     def load(self, name: str, frame: DataFrame) -> int:
         """Add all rows of a DataFrame to a table, with every check; the number of rows."""
@@ -166,9 +179,9 @@ class Database:
         with _translated():
             return dml.load(self._own(), name, frame)
 
-    def _select(self, stmt: n.Select) -> bind.Plan:
+    def _select(self, stmt: n.Select, in_order: bool = True) -> bind.Plan:
         with _translated():
-            return bind.select(stmt, *self._source(stmt.table))
+            return bind.select(stmt, *self._source(stmt.table), in_order)
 
     def _run(self, stmt) -> ResultSet:
         if isinstance(stmt, n.Select):

@@ -59,6 +59,11 @@ def decimal(text: str, precision: int, scale: int) -> Decimal | None:
     return Decimal(f"{m[1]}{m[2] or '0'}.{m[3] or '0'}")
 
 
+def number(text: str) -> Decimal | None:
+    """The value of a plain decimal number of any length; None if *text* is none."""
+    return Decimal(text) if re.fullmatch(r"[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)", text, re.ASCII) else None
+
+
 def coerce(value: object, kind: Kind) -> object:
     """*value* (of a literal or a computed cell) as stored in a column of *kind*."""
     name = kind.name

@@ -92,8 +92,10 @@ def update(store: Store, stmt: n.Update) -> int:
     if not count:
         return 0
     after = rows.select(ROW, *[(F.when(hit, new[c]).otherwise(F.col(f"`{c}`")) if c in new else F.col(f"`{c}`")).alias(c) for c in kinds])
-    _check(t, after, set(new))
-    store.replace(t, after)
+    # Written once; the checks read what is written, which no table names before they pass.
+    folder, total = store.stage(after), t.count
+    _check(t, store.staged(t, folder), set(new))
+    store.become(t, folder, total)
     return count
 
 
@@ -138,7 +140,7 @@ def delete(store: Store, stmt: n.Delete) -> int:
     rows, hit = store.scan(t), _hit(t, stmt.where)
     count = rows.where(hit).count()
     if count:
-        store.replace(t, rows.where(~hit))
+        store.become(t, store.stage(rows.where(~hit)), t.count - count)
     return count
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import EngineError, ParseError, StorageError, TypeMismatchError
-from ..functions.types import FROM_TEXT, INTEGERS, NUMBERS, TEXTS, Kind, coerce
+from ..functions.types import FROM_TEXT, INTEGERS, NUMBERS, TEXTS, Kind, coerce, number
 from ..sql import nodes as n
 
 BOOL, INT, FLOAT, TEXT, NULL = Kind("BOOL"), Kind("INT"), Kind("FLOAT"), Kind("TEXT"), Kind("NULL")
@@ -111,6 +111,13 @@ def compare(op: str, left: Typed, right: Typed) -> Column:
         if a == "CHAR":
             # Padded to the column's length; a longer text still has its place in the order.
             return _COMPARE[op](left.column, F.lit(right.value[0].ljust(left.kind.params[0] if left.kind.params else 0)))
+        if a == "DECIMAL":
+            # A number whatever its scale, for columns and for what is computed from them.
+            value = number(right.value[0])
+            if value is None:
+                return unknown()
+            wide = len(value.as_tuple().digits) > 38 or abs(value.as_tuple().exponent) > 38
+            return _COMPARE[op](left.column.cast("double"), F.lit(float(value))) if wide else _COMPARE[op](left.column, F.lit(value))
         try:
             value = coerce(right.value[0], left.kind)
         except TypeMismatchError:
@@ -206,13 +213,14 @@ class Plan:
         return self.frame.toDF(*self.names)
 
 
-def select(stmt: n.Select, frame: DataFrame, columns: dict[str, Kind]) -> Plan:
+def select(stmt: n.Select, frame: DataFrame, columns: dict[str, Kind], in_order: bool = True) -> Plan:
     """Scan, filter, group, project, distinct, sort, offset, limit.
 
     *frame* may have a row number (``__rowid``): rows without another order come in it, and it breaks ties.
+    Without *in_order* a statement that neither sorts nor cuts leaves its rows as they come, unsorted.
     """
     base = Scope({c: Typed(F.col(f"`{c}`"), k) for c, k in columns.items()})
-    numbered = ROW in frame.columns
+    numbered = ROW in frame.columns and ROW not in columns
     if stmt.where is not None:
         frame = frame.where(truth(base.bind(stmt.where)))
     items: list[tuple[object, str]] = []
@@ -249,7 +257,7 @@ def select(stmt: n.Select, frame: DataFrame, columns: dict[str, Kind]) -> Plan:
         cells = [f"c{i}" for i in range(width)]
         frame = frame.groupBy(*cells).agg(*best) if best else frame.distinct()
     order = [F.col(f"s{i}").desc_nulls_first() if down else F.col(f"s{i}").asc_nulls_last() for i, (_, down) in enumerate(sort)]
-    if numbered:
+    if numbered and (in_order or order or stmt.limit is not None or stmt.offset is not None):
         order.append(F.col(ROW).asc())
     if order:
         frame = frame.orderBy(*order)

@@ -5,6 +5,7 @@ Each runs a statement of the dialect through the engine, over attached tables or
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -12,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..database import Database
+from ..errors import EngineError
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
@@ -27,7 +29,7 @@ READS: dict[str, tuple[str, str | None]] = {
     "project_star_mixed": ("SELECT *, r_regionkey + 1 AS next_key FROM region", "SELECT *, CAST(r_regionkey + 1 AS BIGINT) AS next_key FROM region"),
     "project_literals": ("SELECT s_suppkey, 1 AS i, 1.5 AS f, 'it''s' AS t, TRUE AS b FROM supplier", "SELECT s_suppkey, CAST(1 AS BIGINT) AS i, CAST(1.5 AS DOUBLE) AS f, 'it''s' AS t, TRUE AS b FROM supplier"),
     "alias": ("SELECT c_name AS customer_name FROM customer", None),
-    "qualified": ("SELECT orders.o_orderkey FROM orders WHERE orders.o_orderkey < 50", None),
+    "qualified": ("SELECT orders.o_orderkey, orders.o_custkey FROM orders WHERE orders.o_totalprice > 100000", None),
     "filter_eq": ("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'", None),
     "filter_ne": ("SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F'", None),
     "filter_lt": ("SELECT p_partkey, p_size FROM part WHERE p_size < 10", None),
@@ -91,8 +93,8 @@ READS: dict[str, tuple[str, str | None]] = {
 
 _NULLS = "CREATE TABLE t (id INT PRIMARY KEY, a INT, b TEXT, c BOOL); INSERT INTO t VALUES (1, 10, 'x', TRUE); INSERT INTO t VALUES (2, NULL, 'y', FALSE); INSERT INTO t VALUES (3, 30, NULL, NULL); INSERT INTO t VALUES (4, NULL, NULL, TRUE)"
 _NULLS_SQL = "WITH t(id, a, b, c) AS (SELECT CAST(id AS BIGINT), CAST(a AS BIGINT), b, c FROM (VALUES (1, 10, 'x', TRUE), (2, NULL, 'y', FALSE), (3, 30, NULL, NULL), (4, NULL, NULL, TRUE)) v(id, a, b, c)) "
-_TYPES = """CREATE TABLE t (id BIGINT PRIMARY KEY, v VARCHAR(20), c CHAR(3), d DATE, tm TIME, ts TIMESTAMP, p DECIMAL(10, 2), n SMALLINT, f FLOAT, x DOUBLE, b BOOLEAN);
-INSERT INTO t VALUES (1, 'hello', 'ab', '2025-01-15', '13:45:30', '2025-01-15T13:45:30Z', '12.50', 7, 1.5, 2, TRUE);
+_TYPES = """CREATE TABLE t (id BIGINT PRIMARY KEY, v VARCHAR(20), c CHAR(3), d DATE, tm TIME, ts TIMESTAMP, p DECIMAL(10, 2), n SMALLINT, f FLOAT, x DOUBLE, b BOOLEAN)
+INSERT INTO t VALUES (1, 'hello', 'ab', '2025-01-15', '13:45:30', '2025-01-15T13:45:30Z', '12.50', 7, 1.5, 2, TRUE)
 INSERT INTO t VALUES (2, 'world', 'abc', '2024-02-29', '00:00', '2024-02-29T23:00:00+02:00', '9.00', -7, 0.25, 3.5, FALSE)"""
 _TYPES_SQL = """WITH t(id, v, c, d, tm, ts, p, n, f, x, b) AS (SELECT CAST(1 AS BIGINT), 'hello', 'ab ', DATE '2025-01-15', 49530, TIMESTAMP '2025-01-15 13:45:30', CAST('12.50' AS DECIMAL(10, 2)), CAST(7 AS SMALLINT), CAST(1.5 AS DOUBLE), CAST(2 AS DOUBLE), TRUE
 UNION ALL SELECT CAST(2 AS BIGINT), 'world', 'abc', DATE '2024-02-29', 0, TIMESTAMP '2024-02-29 21:00:00', CAST('9.00' AS DECIMAL(10, 2)), CAST(-7 AS SMALLINT), CAST(0.25 AS DOUBLE), CAST(3.5 AS DOUBLE), FALSE) """
@@ -121,6 +123,29 @@ WRITES: dict[str, tuple[str, str, str]] = {
     "type_filter": (_TYPES, "SELECT id FROM t WHERE d > '2024-12-31' AND p > '10.00' AND c = 'ab' AND ts < '2025-02-01' AND tm > '12:00' AND n = 7", _TYPES_SQL + "SELECT id FROM t WHERE d > '2024-12-31' AND p > 10 AND n = 7"),
 }
 
+WRITES |= {
+    "not_null": (_NULLS + "\nFAIL INSERT INTO t (a) VALUES (5)\nCREATE TABLE u (v INT NOT NULL)\nFAIL INSERT INTO u VALUES (NULL)\nINSERT INTO u VALUES (3)", "SELECT v FROM u", "SELECT CAST(3 AS BIGINT) AS v"),
+    "unique": (_NULLS + "\nFAIL INSERT INTO t (id) VALUES (2)\nCREATE TABLE u (v INT UNIQUE)\nINSERT INTO u VALUES (3)\nINSERT INTO u VALUES (NULL)\nINSERT INTO u VALUES (NULL)\nFAIL INSERT INTO u VALUES (3)", "SELECT v FROM u", "SELECT CAST(v AS BIGINT) AS v FROM (VALUES (3), (NULL), (NULL)) x(v)"),
+    "update_constraints": (_NULLS + "\nFAIL UPDATE t SET id = 7\nFAIL UPDATE t SET id = NULL WHERE a = 10\nUPDATE t SET id = 7 WHERE a = 10", "SELECT id FROM t", _NULLS_SQL + "SELECT CASE WHEN a = 10 THEN 7 ELSE id END AS id FROM t"),
+    "txn_own_writes": (_NULLS + "\nBEGIN\nINSERT INTO t (id, a) VALUES (5, 50)\nUPDATE t SET a = a + 1 WHERE id = 5\nDELETE FROM t WHERE a = 51\nINSERT INTO t (id, a) VALUES (5, 52)", "SELECT id, a FROM t", _NULLS_SQL + "SELECT id, a FROM t UNION ALL SELECT CAST(5 AS BIGINT), CAST(52 AS BIGINT)"),
+    "txn_failed_statement": (_NULLS + "\nBEGIN\nINSERT INTO t (id) VALUES (5)\nFAIL INSERT INTO t (id) VALUES (5)\nINSERT INTO t (id) VALUES (6)\nCOMMIT\nREOPEN", "SELECT id FROM t", _NULLS_SQL + "SELECT id FROM t UNION ALL SELECT CAST(5 AS BIGINT) UNION ALL SELECT CAST(6 AS BIGINT)"),
+    "txn_close": (_NULLS + "\nBEGIN\nDELETE FROM t WHERE id > 1\nINSERT INTO t (id) VALUES (9)\nREOPEN", "SELECT id FROM t", _NULLS_SQL + "SELECT id FROM t"),
+    "txn_recreate": ("CREATE TABLE t (id INT PRIMARY KEY)\nINSERT INTO t VALUES (1)\nBEGIN\nDROP TABLE t\nCREATE TABLE t (id INT PRIMARY KEY)\nINSERT INTO t VALUES (1)\nINSERT INTO t VALUES (2)\nCOMMIT\nREOPEN", "SELECT id FROM t", "SELECT CAST(id AS BIGINT) AS id FROM (VALUES (1), (2)) x(id)"),
+    "reopen": (_TYPES + "\nREOPEN\nDELETE FROM t WHERE id = 1\nREOPEN", "SELECT * FROM t", _TYPES_SQL + "SELECT * FROM t WHERE id = 2"),
+    "decimal_number": (_TYPES, "SELECT id, p FROM t WHERE p > '9' AND p + 1 > '13.4' AND p * 2 < '25.001'", _TYPES_SQL + "SELECT id, p FROM t WHERE p > 9 AND p + 1 > 13.4 AND p * 2 < 25.001"),
+}
+
+_ORDERS = "CREATE TABLE orders (o_orderkey BIGINT PRIMARY KEY, o_custkey BIGINT NOT NULL, o_orderstatus CHAR(1), o_totalprice DOUBLE, o_orderpriority VARCHAR(20))\nLOAD\n"
+_ORDERS_SQL = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders"
+
+#: The same over a table that holds the whole of ``orders``.
+WHOLE: dict[str, tuple[str, str, str]] = {
+    "load": ("REOPEN", "SELECT * FROM orders", _ORDERS_SQL),
+    "update_whole": ("UPDATE orders SET o_orderstatus = 'X', o_custkey = o_custkey + 1 WHERE o_orderpriority = '1-URGENT'\nREOPEN", "SELECT * FROM orders", "SELECT o_orderkey, o_custkey + CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS o_custkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice, o_orderpriority FROM orders"),
+    "delete_whole": ("DELETE FROM orders WHERE o_totalprice < 100000", "SELECT o_orderkey FROM orders", "SELECT o_orderkey FROM orders WHERE NOT coalesce(o_totalprice < 100000, FALSE)"),
+    "txn_whole": ("BEGIN\nDELETE FROM orders WHERE o_orderstatus = 'F'\nINSERT INTO orders VALUES (-1, 5, 'N', 1.5, NULL)\nCOMMIT\nREOPEN\nBEGIN\nDELETE FROM orders\nROLLBACK", "SELECT o_orderkey, o_custkey FROM orders", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT CAST(-1 AS BIGINT), CAST(5 AS BIGINT)"),
+}
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(FLAGSHIP)(spark, sf_dir)
@@ -135,20 +160,47 @@ def _read(sql: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-def _write(before: str, sql: str) -> Callable[[SparkSession, str], DataFrame]:
+def _base(spark: SparkSession) -> str:
+    """The shared folder; where none is set (tests, one machine) a temporary one becomes it."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='sparkrel-')}")
+        base = spark.sparkContext.getCheckpointDir()
+    return base.rstrip("/")
+
+
+def _write(before: str, sql: str, loads: tuple[str, ...] = ()) -> Callable[[SparkSession, str], DataFrame]:
+    """Statements over a store, then a SELECT.  REOPEN closes the store and opens it again, LOAD fills the tables
+    of *loads* from the files of the same name, and a line that starts with FAIL must end in an error of the engine."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or ""
-        base = shared.removeprefix("file://") if shared.startswith(("/", "file:///")) else tempfile.mkdtemp(prefix="sparkrel-")
-        with Database(f"{base}/store-{uuid.uuid4().hex}", spark) as db:
-            db.execute(before)
+        path = f"{_base(spark)}/store-{uuid.uuid4().hex}"
+        db = Database(path, spark)
+        try:
+            for part in before.split("\n"):
+                if part == "REOPEN":
+                    db.close()
+                    db = Database(path, spark)
+                elif part == "LOAD":
+                    for name in loads:
+                        db.load(name, spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*[c.name for c in db.columns(name)]))
+                elif part.startswith("FAIL "):
+                    with contextlib.suppress(EngineError):
+                        db.execute(part.removeprefix("FAIL "))
+                        raise AssertionError(f"no error: {part}")
+                else:
+                    db.execute(part)
             return db.query(sql)
+        finally:
+            db.close()
 
     return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: _read(sql) for k, (sql, _) in READS.items()} | {k: _write(a, b) for k, (a, b, _) in WRITES.items()}
+    whole = {k: _write(_ORDERS + a, b, ("orders",)) for k, (a, b, _) in WHOLE.items()}
+    return {k: _read(sql) for k, (sql, _) in READS.items()} | {k: _write(a, b) for k, (a, b, _) in WRITES.items()} | whole
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql if other is None else other for k, (sql, other) in READS.items()} | {k: c for k, (_, _, c) in WRITES.items()}
+    return {k: sql if other is None else other for k, (sql, other) in READS.items()} | {k: c for k, (_, _, c) in (WRITES | WHOLE).items()}

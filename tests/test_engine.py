@@ -184,6 +184,10 @@ def test_reopen(spark, tmp_path):
     with Database(path, spark) as db:
         assert rows(db, "SELECT * FROM t") == [["1", "2025-01-01", "1.50"], ["2", "", ""], ["3", "", ""]]
         assert not os.path.exists(f"{path}/data/rows-stray")
+        db.execute("INSERT INTO t VALUES (8, NULL, NULL)")  # not onto the torn line
+        db.close()
+    with Database(path, spark) as db:
+        db.execute("DELETE FROM t WHERE id = 8")
         db.execute("DELETE FROM t WHERE id = 2; INSERT INTO t VALUES (7, NULL, NULL)")
     with Database(path, spark) as db:
         assert rows(db, "SELECT id FROM t") == [["1"], ["3"], ["7"]]
@@ -257,3 +261,55 @@ def test_attached(spark, small):
     for bad, error in [("INSERT INTO nation VALUES (1)", StorageError), ("CREATE TABLE x (a INT)", StorageError), ("SELECT embedding + 1 FROM embeddings", TypeMismatchError)]:
         with pytest.raises(error):
             db.execute(bad)
+
+
+def test_store_given_by_uri(spark, tmp_path, monkeypatch):
+    from sparkrel.sources import files, store
+
+    monkeypatch.setattr(store, "opened", files.Remote)
+    path = f"file://{tmp_path}/s"
+    with Database(path, spark) as db:
+        db.execute("CREATE TABLE t (id INT PRIMARY KEY, b TEXT); INSERT INTO t VALUES (1, 'x'); INSERT INTO t VALUES (2, 'y')")
+        db.execute("BEGIN; INSERT INTO t VALUES (3, 'z'); COMMIT; INSERT INTO t VALUES (4, NULL); UPDATE t SET b = 'w' WHERE id = 2; INSERT INTO t VALUES (5, 'v')")
+        with pytest.raises(TransactionError):
+            Database(path, spark)
+    with Database(path, spark) as db:
+        assert rows(db, "SELECT * FROM t") == [["1", "x"], ["2", "w"], ["3", "z"], ["4", ""], ["5", "v"]]
+        before = set(os.listdir(tmp_path / "s" / "data"))
+        db.compact()
+        assert not before & set(os.listdir(tmp_path / "s" / "data"))
+        db.execute("INSERT INTO t VALUES (6, 'u')")
+    with Database(path, spark) as db:
+        assert rows(db, "SELECT id FROM t OFFSET 4") == [["5"], ["6"]]
+
+
+def test_row_number_name(spark, db):
+    with pytest.raises(ConstraintError):
+        db.execute("CREATE TABLE t (__rowid INT)")
+    db.attach("a", spark.sql("SELECT 3 AS `__rowid`, 4 AS v UNION ALL SELECT 1, 5"))
+    assert sorted(rows(db, "SELECT * FROM a")) == [["1", "5"], ["3", "4"]]
+
+
+def test_rows_one_by_one(db):
+    db.execute("CREATE TABLE t (id INT); INSERT INTO t VALUES (2); INSERT INTO t VALUES (1)")
+    assert list(db.iterate("SELECT id FROM t")) == [["2"], ["1"]]
+
+
+def test_fold_within_a_transaction(spark, tmp_path, monkeypatch):
+    from sparkrel.sources import store
+
+    monkeypatch.setattr(store, "FOLD", 3)
+    path = str(tmp_path / "s")
+    with Database(path, spark) as db:
+        db.execute("CREATE TABLE t (id INT); INSERT INTO t VALUES (1); BEGIN")
+        for i in range(2, 9):
+            db.execute(f"INSERT INTO t VALUES ({i})")
+        assert len(db.store.tables["t"].rows) < 3
+        db.execute("ROLLBACK")
+        assert rows(db, "SELECT id FROM t") == [["1"]]
+        db.execute("BEGIN")
+        for i in range(2, 9):
+            db.execute(f"INSERT INTO t VALUES ({i})")
+        db.execute("COMMIT")
+    with Database(path, spark) as db:
+        assert rows(db, "SELECT id FROM t") == [[str(i)] for i in range(1, 9)]

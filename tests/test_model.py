@@ -15,7 +15,7 @@ def test_random_statements(spark, tmp_path, seed):
     db.execute("CREATE TABLE t (pk INT PRIMARY KEY, a INT NOT NULL, b TEXT NOT NULL, c INT)")
     for _ in range(60):
         pk, a, b, c = rng.randint(1, 30), rng.randint(1, 100), "".join(rng.choices("abc", k=rng.randint(1, 3))), rng.choice([None, rng.randint(1, 9)])
-        do = rng.choice(["insert"] * 5 + ["update", "delete", "eq", "order", "group", "reopen", "rollback"])
+        do = rng.choice(["insert"] * 5 + ["update", "delete", "eq", "order", "group", "reopen", "rollback", "recreate", "commit"])
         if do == "insert":
             sql = f"INSERT INTO t VALUES ({pk}, {a}, '{b}', {'NULL' if c is None else c})"
             if pk in model:
@@ -45,6 +45,23 @@ def test_random_statements(spark, tmp_path, seed):
         elif do == "reopen":
             db.close()
             db = Database(path, spark)
+        elif do == "recreate":
+            # The new table may begin with the very rows of the old one.
+            keep = dict(list(model.items())[: rng.randint(0, len(model))]) | ({pk: (a, b, c)} if pk not in model else {})
+            db.execute("BEGIN; DROP TABLE t; CREATE TABLE t (pk INT PRIMARY KEY, a INT NOT NULL, b TEXT NOT NULL, c INT)")
+            for k, (x, y, z) in keep.items():
+                db.execute(f"INSERT INTO t VALUES ({k}, {x}, '{y}', {'NULL' if z is None else z})")
+            if rng.random() < 0.7:
+                db.execute("COMMIT")
+                model = keep
+            db.close()
+            db = Database(path, spark)
+        elif do == "commit":
+            db.execute(f"BEGIN; DELETE FROM t WHERE pk = {pk}; INSERT INTO t VALUES ({pk}, {a}, '{b}', NULL); COMMIT")
+            model.pop(pk, None)
+            model[pk] = (a, b, None)
+            db.close()
+            db = Database(path, spark)
         else:
             db.execute("BEGIN; DELETE FROM t WHERE a > 10; ROLLBACK")
     assert db.execute("SELECT COUNT(*), SUM(a) FROM t").rows == [[str(len(model)), show(sum(r[0] for r in model.values()) if model else None)]]
