@@ -1,22 +1,26 @@
 """Line dedup by a segment-partition edit join, in DataFrame operations only.
 
-Lines are compared in lower case without outer blanks.  Equal lines are one class by their hash.  Of different
-lines, of which the longer has ``least`` characters or more, those within ``limit`` edits are linked: a line
-is cut into limit + 1 segments of even length, one of which an edited line must still hold, near its place.  So each line indexes
-its segments by (own length, number, segment), and probes, for each shorter length that its partners may have,
-the substrings at which a segment can stand.  Candidates are verified on the whole lines by bit-parallel edit
+Lines are compared in lower case, with single blanks and none at the ends.  Equal lines are one class.  Different
+lines are linked if they are within ``LIMIT`` edits of characters (the longer one has ``LEAST`` characters or more),
+or, where both have ``WORDS`` words or more, within ``WORD_LIMIT`` edits of words: a changed word is little in a long
+line and too much in a short one.  Classes are the connected components of the links; of each class the first line
+(by doc_id, then line number) stays.
+
+The join.  A line of n units (characters or words) is cut into limit + 1 segments, those of the first half counted
+from its start, those of the second half from its end.  With up to *limit* edits there is a segment i that has none,
+with i edits before it and limit - i after it at most; so in the other line it stands within min(i, limit - i) of the
+same place from that end.  A line's keys are the substrings at those places: 5 for 2 edits, 8 for 3.  The length of
+segments follows from the line's length with its last binary digits dropped, so lines of about one length share it;
+at the edges a line emits keys of both lengths.
+
+Keys of one line only, nearly all, end in a pre-aggregated sum.  The lines of the others are read, and their keys
+made again: within a key of up to ``DENSE`` lines all pairs are compared by numbers (lengths, letters); beyond it the
+shared segment is cut out, and what is left of the lines, which must be within the limit too, is joined in the same
+way within the key, and so on (but not for a key all of whose lines share an earlier one's).  So lines that share long passages, and differ everywhere in between, make pairs in
+proportion to those that are alike, not all pairs.  What passes is verified on the whole lines by bit-parallel edit
 distance in a band of 2 * limit + 1 diagonals.
 
-A fixed number of edits is little in a long line.  So lines are linked as well whose sets of three-word runs
-have a Jaccard similarity of ``SHARE`` or more, where the longer has ``WORDS`` words and the shorter ``SHARE``
-of its words at least; what may differ grows with the line.  Of the smallest hashes of either set, floor((1 -
-SHARE) * runs) + MEET of them, which are a line's keys, two such sets share MEET, or all that they share if fewer.
-Classes are the connected components of the links; of each
-class the first line (by doc_id, then line number) stays.
-
-Texts are never shuffled: keys and ids are, and the lines of candidates.  Keys of a single line, nearly all,
-end in a pre-aggregated sum; a key of two lines is a pair by its least and largest id; only keys of more lines
-are gathered again and joined with themselves, on letter counts too, so that few pairs leave the join.
+Texts are never shuffled: keys and ids are, and the lines of candidates.
 """
 
 from __future__ import annotations
@@ -27,56 +31,142 @@ from pyspark.sql import functions as F
 from .common import fresh, stored, table
 from .components import components
 
+#: Edits of characters, and the characters of the longer line from which they count.
 LIMIT, LEAST = 2, 15
-#: Lines of so many words are linked by their runs of so many words too, at this share (a fraction) of common ones.
-WORDS, RUN, SHARE = 20, 3, (4, 5)
-#: Keys that lines must share by then: a run that is common in the language pairs many lines, three hardly any.
-MEET = 3
+#: Edits of words, and the words of the shorter line from which they count.
+WORD_LIMIT, WORDS = 3, 32
 #: Ids of so many lines or keys (8 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
-#: A line that makes over this share of all lines emits its keys once only; there are at most so many such lines.
-HOT = 1000
-#: Letters whose counts are compared before texts are, in two eights: common ones in alphabetic writing.
-LETTERS = ("entiarso", "hldcumgb")
+#: Lines of a key of which all pairs are compared.
+DENSE = 512
+#: Symbols whose counts are compared before texts are, in eights: common letters and the digits.
+LETTERS = ("entiarso", "hldcum01", "23456789")
+#: The kinds of units.
+CHARACTERS, WORDWISE = 0, 1
 
 
 def normal(line: Column) -> Column:
-    """Lower case, without blanks at the ends; tabs and carriage returns are blanks."""
+    """Lower case, single blanks, none at the ends; tabs and carriage returns are blanks."""
     # `replace` leaves most lines as they are, at the cost of a search; `translate` would rebuild each.
-    return F.lower(F.trim(F.replace(F.replace(line, F.lit("\r"), F.lit(" ")), F.lit("\t"), F.lit(" "))))
+    plain = F.replace(F.replace(line, F.lit("\r"), F.lit(" ")), F.lit("\t"), F.lit(" "))
+    return F.lower(F.trim(F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, "  +", " ")).otherwise(plain)))
+
+
+def identity(line: Column) -> Column:
+    return F.xxhash64(line)
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0), line (normalised), id (its hash), n (characters): the lines that are not blank."""
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    rows = rows.withColumn("line", normal(F.col("line"))).where("line <> ''")
-    return rows.withColumns({"id": F.xxhash64("line"), "n": F.length("line")})
-
-
-def _keys(lines: DataFrame, limit: int) -> DataFrame:
-    """*lines* with one row for each key: key, role (1 index, 2 probe, 3 both)."""
-    parts, made = limit + 1, []
-    helpers = {}
-    for d in range(limit + 1):
-        helpers[f"b{d}"] = F.expr(f"cast((n - {d}) div {parts} as int)")
-        helpers[f"k{d}"] = F.expr(f"{parts} - cast((n - {d}) % {parts} as int)")  # segments of the shorter kind
-    for d in range(limit + 1):
-        for i in range(parts):
-            low = max(-i, d - (limit - i))
-            high = min(i, d + (limit - i))
-            start, size = f"({i} * b{d} + greatest(0, {i} - k{d}))", f"(b{d} + if({i} >= k{d}, 1, 0))"
-            for off in range(low, high + 1):
-                role = 3 if d == 0 and off == 0 else 2
-                at = f"{start} + {off}"
-                made.append(f"if({at} >= 0 and {at} + {size} <= n, named_struct('key', xxhash64({i}, n - {d}, substring(wide, 4 * ({at}) + 1, 4 * {size})), 'role', {role}), null)")
-    # Four bytes a character, so that segments are found without walking the line.  The outer explode keeps the
-    # planner from filtering on the array first, which would compute every key twice.
-    wide = lines.withColumns(helpers).withColumn("wide", F.encode("line", "UTF-32"))
-    return wide.select(*lines.columns, F.expr(f"array({', '.join(made)})").alias("ks")).select(*lines.columns, F.explode_outer("ks").alias("k")).select(*lines.columns, "k.key", "k.role").where("key is not null")
-
-
-def _letters(letters: str) -> Column:
-    """Counts of eight letters, a byte each."""
+    """doc_id, row (a hash of doc_id and text), line_no (from 0), line (normalised), id and check (its hashes):
+    the lines that are not blank."""
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    rows = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    # Tested before it is normalised, as the planner would normalise twice to filter on the outcome.
+    rows = rows.where(F.trim(F.col("line"), F.lit(" \t\r")) != "").withColumn("line", normal(F.col("line")))
+    return rows.withColumns({"id": identity(F.col("line")), "check": F.hash("line")})
+
+
+# ---------------------------------------------------------------- keys
+
+
+def _let(value: Column, body) -> Column:
+    """*body* of a value that is computed once: a one-element array is transformed."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _rounded(n: Column) -> Column:
+    """*n* with all but its three highest binary digits dropped."""
+    # Half is added as no logarithm of a whole number and a half is near a whole one.
+    shift = F.greatest(F.lit(0), F.floor(F.log2(n + 0.5)).cast("int") - 2)
+    return F.call_function("shiftleft", F.call_function("shiftright", n, shift), shift)
+
+
+def _length(n: Column, limit: int) -> Column:
+    """The length of the segments of a line of *n* units."""
+    return F.floor(_rounded(n) / (limit + 1)).cast("int")
+
+
+def _spans(n: Column, limit: int, of) -> Column:
+    """An array of of(length of the segments, segment, place from 0) for every key of a line of *n* units."""
+    parts = limit + 1
+    shapes = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(i if 2 * i <= limit else i - parts).alias("times"), F.lit(off).alias("off")) for i in range(parts) for off in range(-min(i, limit - i), min(i, limit - i) + 1)])
+    # A partner may be shorter by the limit: its segments' length is used as well.
+    lengths = F.array_distinct(F.array(*[_length(F.greatest(n - d, F.lit(parts)), limit) for d in range(parts)]))
+    place = lambda k, s: F.when(s.times < 0, n).otherwise(F.lit(0)) + s.times * k + s.off
+    return F.flatten(F.transform(lengths, lambda k: F.transform(shapes, lambda s: of(k, s.i, place(k, s)))))
+
+
+def _piece(text: Column, words: Column | None, at: Column, n: Column) -> Column:
+    return F.substring(text, at + 1, n) if words is None else F.slice(words, at + 1, n)
+
+
+def words_of(text: Column) -> Column:
+    return F.split(text, " ")
+
+
+def _line_keys(line: Column) -> Column:
+    """The keys of a whole line: of its characters unless it is long, of its words if it is."""
+
+    def of(w: Column) -> Column:
+        n = F.length(line)
+        short = _spans(n, LIMIT, lambda k, i, at: F.xxhash64(F.lit(CHARACTERS), k, i, _piece(line, None, at, k)))
+        long = _spans(F.size(w), WORD_LIMIT, lambda k, i, at: F.xxhash64(F.lit(WORDWISE), k, i, _piece(line, w, at, k)))
+        none = F.array().cast("array<bigint>")
+        return F.concat(F.when((F.size(w) < WORDS + LIMIT) & (n >= LEAST - LIMIT), short).otherwise(none), F.when(F.size(w) >= WORDS, long).otherwise(none))
+
+    return _let(words_of(line), of)
+
+
+#: Columns with the keys of earlier segments, by which a key is known to add nothing to them.
+EARLIER = ["e0", "e1", "e2"]
+
+
+def _level_keys(state: DataFrame) -> DataFrame:
+    """*state* (id, chain, unit, text, and more) with a row for each key: key, at and size of the segment, own
+    (whether it stands in its own place and has the length of the line's own), and the keys of the line's earlier
+    segments in their own places.  Of two lines with a link the shorter shares a segment of its own.
+
+    Where so little is left that a partner may have no segments, the key is of all such rows, with size -1.
+    """
+    key = lambda unit, k, i, piece: F.xxhash64("chain", F.lit(unit), k, i, piece)
+    null = F.lit(None).cast("long")
+    entry = lambda made, at, size, own, earlier: F.struct(made.alias("key"), at.alias("at"), size.alias("size"), own.alias("own"), *[e.alias(x) for e, x in zip(earlier, EARLIER, strict=True)])
+    small = F.array(entry(F.xxhash64("chain", F.lit(-1)), F.lit(0), F.lit(-1), F.lit(1), [null] * 3))
+    none = F.filter(small, lambda _: F.lit(False))
+
+    def of_unit(unit: int, limit: int) -> Column:
+        def of(w: Column) -> Column:
+            text, words = F.col("text"), None if unit == CHARACTERS else w
+            n = F.length(text) if unit == CHARACTERS else F.when(text == "", F.lit(0)).otherwise(F.size(w))
+
+            def cut(k: Column, i: Column, at: Column) -> Column:
+                place = lambda j: F.lit(j) * k if 2 * j <= limit else n + (j - limit - 1) * k
+                earlier = [F.when(i > j, key(unit, k, F.lit(j), _piece(text, words, place(j), k))).otherwise(null) for j in range(3)]
+                home = F.when(2 * i <= limit, i * k).otherwise(n + (i - limit - 1) * k)
+                own = (at == home) & (k == _length(n, limit))
+                return entry(key(unit, k, i, _piece(text, words, at, k)), at, k, own.cast("int"), earlier)
+
+            return F.concat(F.when(n > limit, _spans(n, limit, cut)).otherwise(none), F.when(n <= 2 * limit, small).otherwise(none))
+
+        return _let(words_of(F.col("text")), of)
+
+    keys = F.when(F.col("unit") == CHARACTERS, of_unit(CHARACTERS, LIMIT)).otherwise(of_unit(WORDWISE, WORD_LIMIT))
+    rows = state.withColumn("k", F.explode(keys))
+    return rows.select(*state.columns, "k.*")
+
+
+def _without(text: Column, unit: Column, at: Column, size: Column) -> Column:
+    """*text* without one segment."""
+    letters = F.concat(F.substring(text, F.lit(1), at), F.substring(text, at + size + 1, F.length(text)))
+    words = _let(words_of(text), lambda w: F.array_join(F.concat(F.slice(w, F.lit(1), at), F.slice(w, at + size + 1, F.size(w))), " "))
+    return F.when(unit == CHARACTERS, letters).otherwise(words)
+
+
+# ---------------------------------------------------------------- verification
+
+
+def _counts(letters: str) -> Column:
+    """Counts of eight symbols, a byte each."""
     count = lambda c: F.least(F.lit(255), F.octet_length("line") - F.octet_length(F.replace("line", F.lit(c), F.lit("")))).cast("long")
     total = F.lit(0).cast("long")
     for i, c in enumerate(letters):
@@ -84,27 +174,90 @@ def _letters(letters: str) -> Column:
     return total
 
 
-def _close(pairs: list[tuple[str, str]], limit: int) -> Column:
-    """Whether letter counts differ by 2 * limit at most in all, as they must within *limit* edits."""
-    each = [f"abs((shiftrightunsigned({a}, {8 * i}) & 255) - (shiftrightunsigned({b}, {8 * i}) & 255))" for a, b in pairs for i in range(8)]
-    return F.expr(f"{' + '.join(each)} <= {2 * limit}")
+def _sign(words: Column) -> Column:
+    """A bit for the parity of the words with each of 64 remainders; an edit of a word turns two at most."""
+    return F.aggregate(words, F.lit(0).cast("long"), lambda x, w: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(w).bitwiseAND(F.lit(63)))))
 
 
-def within(a: str, b: str, limit: int) -> Column:
-    """Whether columns *a* and *b* are within *limit* edits.
+def _may_be_close() -> Column:
+    """Whether the numbers of rows a and b of one key leave room for a link: lengths, symbols, parities of words."""
+    each = [f"abs((shiftrightunsigned(c{j}_a, {8 * i}) & 255) - (shiftrightunsigned(c{j}_b, {8 * i}) & 255))" for j in range(len(LETTERS)) for i in range(8)]
+    # The parities of counts first: they cost least and tell most.
+    odd = " + ".join(f"bit_count((c{j}_a ^ c{j}_b) & {0x0101010101010101})" for j in range(len(LETTERS)))
+    letters = f"not (long_a and long_b) and abs(n_a - n_b) <= {LIMIT} and greatest(n_a, n_b) >= {LEAST} and {odd} <= {2 * LIMIT} and {' + '.join(each)} <= {2 * LIMIT}"
+    words = f"long_a and long_b and abs(words_a - words_b) <= {WORD_LIMIT} and bit_count(sign_a ^ sign_b) <= {2 * WORD_LIMIT}"
+    return F.expr(f"if(unit_a = {CHARACTERS}, {letters}, {words})")
+
+
+def _banded(limit: int):
+    """Whether two arrays (fields x, y of a struct) are within *limit* edits of their elements.
 
     For each number of errors e a bit vector tells at which diagonals of the band the text so far can end:
-    a step takes equal characters straight on, and an error straight on (substitution), one diagonal down
-    (a character of *a* dropped) or up (one of *b* added).  Equal blocks at both ends are left out.
+    a step takes equal elements straight on, and an error straight on (substitution), one diagonal down
+    (an element of x dropped) or up (one of y added).
     """
-    block, width, bits = 16, 2 * limit + 1, 2 * limit + 2
+    width, bits = 2 * limit + 1, 2 * limit + 2
+    full = (1 << width) - 1
+    begin = sum((((1 << e + 1) - 1) << limit) << bits * e for e in range(limit + 1))
+
+    def step(c: Column):
+        def go(state: Column, i: Column) -> Column:
+            same = F.lit(0).cast("long")
+            for d in range(-limit, limit + 1):
+                same = same.bitwiseOR(F.when(F.get(c.y, i + d) == F.get(c.x, i), F.lit(1 << d + limit).cast("long")).otherwise(F.lit(0).cast("long")))
+
+            def levels(m: Column) -> Column:
+                out, below_old, below_new = F.lit(0).cast("long"), None, None
+                for e in range(limit + 1):
+                    old = F.shiftrightunsigned(state, bits * e).bitwiseAND(F.lit(full))
+                    new = old.bitwiseAND(m)
+                    if e:
+                        new = new.bitwiseOR(below_old).bitwiseOR(F.shiftright(below_old, 1)).bitwiseOR(F.shiftleft(below_new, 1)).bitwiseAND(F.lit(full))
+                    out = out.bitwiseOR(F.shiftleft(new, bits * e))
+                    below_old, below_new = old, new
+                return out
+
+            return F.when(state == 0, state).otherwise(_let(same, levels))
+
+        return go
+
+    def run(c: Column) -> Column:
+        many = F.size(c.x)
+        steps = F.when(many > 0, F.sequence(F.lit(0), many - 1)).otherwise(F.array().cast("array<int>"))
+        last = F.aggregate(steps, F.lit(begin).cast("long"), step(c))
+        # The diagonal of both ends, in the vector of *limit* errors.
+        goal = F.size(c.y) - many + limit
+        return F.when(goal.between(0, width - 1), F.getbit(last, goal + bits * limit) == 1).otherwise(F.lit(False))
+
+    return run
+
+
+def _both(x: Column, y: Column) -> Column:
+    return F.struct(x.alias("x"), y.alias("y"))
+
+
+def _unlike(t: Column) -> Column:
+    """Two arrays without the elements that both begin with."""
+    same = lambda p: F.coalesce(F.array_position(F.zip_with(p.x, p.y, lambda a, b: a.eqNullSafe(b)), F.lit(False)), F.lit(0)).cast("int")
+    # Place 0: no difference, so they are equal and nothing is left.
+    return _let(F.struct(t.x.alias("x"), t.y.alias("y"), same(t).alias("at")), lambda p: F.when(p.at == 0, _both(F.slice(p.x, 1, 0), F.slice(p.y, 1, 0))).otherwise(_both(F.slice(p.x, p.at, F.size(p.x)), F.slice(p.y, p.at, F.size(p.y)))))
+
+
+def within_words(a: str, b: str, limit: int) -> Column:
+    """Whether columns *a* and *b* are within *limit* edits of their words."""
+    back = lambda t: _both(F.reverse(t.x), F.reverse(t.y))
+    middle = _let(_let(_both(words_of(F.col(a)), words_of(F.col(b))), _unlike), lambda t: _let(back(t), _unlike))
+    return _let(middle, _banded(limit))
+
+
+def within(a: str, b: str, limit: int) -> Column:
+    """Whether columns *a* and *b* are within *limit* edits of their characters; equal blocks at both ends are left out."""
+    block = 16
     shared = lambda x, y: F.expr(f"""{block} * (coalesce(nullif(array_position(transform(sequence(0, least(length({x}), length({y})) div {block}),
         i -> substring({x}, i * {block} + 1, {block}) = substring({y}, i * {block} + 1, {block}) and (i + 1) * {block} <= least(length({x}), length({y}))), false), 0), 1) - 1)""")
     head = shared(a, b)
     rest_a, rest_b = F.substring(F.col(a), head + 1, F.length(a)), F.substring(F.col(b), head + 1, F.length(b))
-    texts = F.struct(rest_a.alias("x"), rest_b.alias("y"))
-    # Let-bindings: a one-element array is transformed.
-    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    texts = _both(rest_a, rest_b)
 
     def tail(t: Column) -> Column:
         back = F.struct(F.reverse(t.x).alias("x"), F.reverse(t.y).alias("y"))
@@ -115,172 +268,150 @@ def within(a: str, b: str, limit: int) -> Column:
             n = (F.array_position(same, F.lit(False)) - 1).cast("int") * block
             return F.struct(F.substring(t.x, F.lit(1), F.length(t.x) - n).alias("x"), F.substring(t.y, F.lit(1), F.length(t.y) - n).alias("y"))
 
-        return let(back, cut)
+        return _let(back, cut)
 
     def distance(t: Column) -> Column:
-        chars = F.struct(F.when(F.length(t.x) == 0, F.array().cast("array<string>")).otherwise(F.split(t.x, "")).alias("x"), F.when(F.length(t.y) == 0, F.array().cast("array<string>")).otherwise(F.split(t.y, "")).alias("y"))
-        full = (1 << width) - 1
-        begin = sum((((1 << e + 1) - 1) << limit) << bits * e for e in range(limit + 1))
-
-        def step(c: Column):
-            def go(state: Column, i: Column) -> Column:
-                same = F.lit(0).cast("long")
-                for d in range(-limit, limit + 1):
-                    same = same.bitwiseOR(F.when(F.get(c.y, i + d) == F.get(c.x, i), F.lit(1 << d + limit).cast("long")).otherwise(F.lit(0).cast("long")))
-
-                def levels(m: Column) -> Column:
-                    out, below_old, below_new = F.lit(0).cast("long"), None, None
-                    for e in range(limit + 1):
-                        old = F.shiftrightunsigned(state, bits * e).bitwiseAND(F.lit(full))
-                        new = old.bitwiseAND(m)
-                        if e:
-                            new = new.bitwiseOR(below_old).bitwiseOR(F.shiftright(below_old, 1)).bitwiseOR(F.shiftleft(below_new, 1)).bitwiseAND(F.lit(full))
-                        out = out.bitwiseOR(F.shiftleft(new, bits * e))
-                        below_old, below_new = old, new
-                    return out
-
-                return F.when(state == 0, state).otherwise(let(same, levels))
-
-            return go
-
-        def run(c: Column) -> Column:
-            many = F.size(c.x)
-            steps = F.when(many > 0, F.sequence(F.lit(0), many - 1)).otherwise(F.array().cast("array<int>"))
-            last = F.aggregate(steps, F.lit(begin).cast("long"), step(c))
-            # The diagonal of both ends, in the vector of *limit* errors.
-            goal = F.size(c.y) - many + limit
-            return F.when(goal.between(0, width - 1), F.getbit(last, goal + bits * limit) == 1).otherwise(F.lit(False))
-
-        return let(chars, run)
-
-    return let(let(texts, tail), distance)
-
-
-def runs(line: Column) -> Column:
-    """The sorted hashes of the different runs of RUN words in *line*."""
-
-    def of(words: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(0), F.size(words) - RUN), lambda i: F.xxhash64(*[F.get(words, i + d) for d in range(RUN)]))
-        return F.when(F.size(words) >= RUN, F.sort_array(F.array_distinct(each))).otherwise(F.array().cast("array<bigint>"))
-
-    # Bound by a one-element array, so that the line is split once.
-    return F.element_at(F.transform(F.array(_words(line)), of), 1)
-
-
-def _words(line: Column) -> Column:
-    return F.array_remove(F.split(line, " "), "")
-
-
-def _run_keys(lines: DataFrame) -> DataFrame:
-    """key, id, rank (place of the key among the line's runs, from 1), size (runs), sign (a bit for the parity of runs)."""
-    top, of = SHARE
-    least = (WORDS * top + of - 1) // of
-    rows = lines.where(F.length("line") >= 2 * least - 1).select("id", F.size(_words(F.col("line"))).alias("words"), runs(F.col("line")).alias("runs")).where(f"words >= {least}")
-    rows = rows.withColumns({"size": F.size("runs"), "sign": F.aggregate("runs", F.lit(0).cast("long"), lambda x, h: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))})
-    rows = rows.withColumn("first", F.expr(f"slice(runs, 1, size - ({top} * size + {of - 1}) div {of} + {MEET})"))
-    rows = stored(rows.select("id", "words", "size", "sign", "first"), "line-runs")
-    return rows.select("id", "words", "size", "sign", F.posexplode("first").alias("rank", "key")).withColumn("rank", F.col("rank") + 1)
-
-
-def _run_pairs(lines: DataFrame) -> DataFrame:
-    """a, b: ids of lines that share enough keys of runs and are not ruled out by their numbers."""
-    top, of = SHARE
-    keys = _run_keys(lines)
-    shared = stored(keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select(F.col("key").alias("of")), "line-run-shared")
-    if shared.count() <= BROADCAST_ROWS:
-        shared = F.broadcast(shared)
-    members = stored(keys.join(shared, F.col("key") == F.col("of"), "left_semi").distinct(), "line-run-members")
-    left, right = (members.select(*[F.col(c).alias(f"{c}_{x}") for c in members.columns]) for x in "ab")
-    # Common runs are at most those up to the key and those after it on either side; each run on one side only
-    # turns a bit of the sign.
-    common = "least(rank_a, rank_b) + least(size_a - rank_a, size_b - rank_b)"
-    numbers = f"{of} * least(words_a, words_b) >= {top} * greatest(words_a, words_b) and greatest(words_a, words_b) >= {WORDS} and {top + of} * ({common}) >= {top} * (size_a + size_b)"
-    signs = f"{top + of} * bit_count(sign_a ^ sign_b) <= {of - top} * (size_a + size_b)"
-    found = left.join(right, (F.col("key_a") == F.col("key_b")) & (F.col("id_a") < F.col("id_b")) & F.expr(numbers) & F.expr(signs))
-    met = found.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.first(F.greatest("size_a", "size_b")).alias("size"))
-    return met.where(f"met >= least({MEET}, ({top} * size + {of - 1}) div {of})").select("a", "b")
-
-
-def similar(a: str, b: str) -> Column:
-    """Whether columns *a* and *b* are near by their runs of words."""
-    top, of = SHARE
-    n, m = F.size(_words(F.col(a))), F.size(_words(F.col(b)))
-    long = (F.greatest(n, m) >= WORDS) & (F.least(n, m) * of >= F.greatest(n, m) * top)
-    sets = F.array(F.struct(runs(F.col(a)).alias("x"), runs(F.col(b)).alias("y")))
-    near = F.element_at(F.transform(sets, lambda s: F.size(F.array_intersect(s.x, s.y)) * (top + of) >= (F.size(s.x) + F.size(s.y)) * top), 1)
-    return long & near
-
-
-def links(docs: DataFrame, limit: int = LIMIT, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(classes, links): id, first (doc_id, line_no), n of each distinct line; a, b of each link between ids."""
-    all_lines = split_lines(docs)
-    classes = stored(all_lines.groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")), "line-classes")
-    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = classes.where(F.col("n") > max(2, total / HOT)).select(F.col("id").alias("hot"), "first")
-    # At most HOT lines are that common: the broadcast is bounded.
-    lines = all_lines.where(F.col("n") >= least - limit).join(F.broadcast(hot), F.col("id") == F.col("hot"), "left")
-    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))
-    lines = lines.where(F.col("hot").isNull() | own).select("id", "n", "line")
-    keys = _keys(lines, limit)
-    sums = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("rows"), F.bit_or("role").alias("roles"))
-    # A key needs an index entry (role 1) and two lines.
-    shared = stored(sums.where("a <> b and roles & 1 = 1"), "line-keys")
-    pairs = shared.where("rows = 2").select("a", "b")
-    many = shared.where("rows > 2").select(F.col("key").alias("of"))
-    if many.count() <= BROADCAST_ROWS:
-        many = F.broadcast(many)
-    members = _keys(lines, limit).join(many, F.col("key") == F.col("of"), "left_semi").withColumns({"l0": _letters(LETTERS[0]), "l1": _letters(LETTERS[1])})
-    members = stored(members.groupBy("key", "id", "l0", "l1").agg(F.bit_or("role").alias("role")), "line-members")
-    left, right = members.select(F.col("key").alias("key_a"), F.col("id").alias("a"), F.col("l0").alias("a0"), F.col("l1").alias("a1"), F.col("role").alias("ra")), members.select("key", F.col("id").alias("b"), F.col("l0").alias("b0"), F.col("l1").alias("b1"), F.col("role").alias("rb"))
-    found = left.join(right, (F.col("key_a") == F.col("key")) & (F.col("a") < F.col("b")) & F.expr("(ra & 1) + (rb & 1) > 0") & _close([("a0", "b0"), ("a1", "b1")], limit))
-    pairs = stored(pairs.union(found.select("a", "b")).distinct(), "line-pairs")
-    alike = stored(_run_pairs(lines), "line-run-pairs")
-    ids = stored(pairs.union(alike).select(F.explode(F.array("a", "b")).alias("of")).distinct(), "line-ids")
-    if ids.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    texts = stored(lines.join(ids, F.col("id") == F.col("of"), "left_semi").groupBy("id").agg(F.first("line").alias("line")), "line-texts")
-    both = lambda of: of.join(texts.select(F.col("id").alias("ia"), F.col("line").alias("x")), F.col("a") == F.col("ia")).join(texts.select(F.col("id").alias("ib"), F.col("line").alias("y")), F.col("b") == F.col("ib"))
-    edited = both(pairs).where(F.expr(f"abs(length(x) - length(y)) <= {limit} and greatest(length(x), length(y)) >= {least}")).where(within("x", "y", limit)).select("a", "b")
-    verified = stored(edited.union(both(alike).where(similar("x", "y")).select("a", "b")).distinct(), "line-links")
-    return classes, verified
-
-
-def memberships(docs: DataFrame, limit: int = LIMIT, least: int = LEAST) -> DataFrame:
-    """doc_id, line_no, line_id, class_id, links, stays: one row for each line that is not blank.
-
-    line_id is the line's hash, class_id the least line_id that links reach; links counts the different lines
-    linked to it; stays is true for the first line of its class, by doc_id (null last), then line number.  Lines
-    are only equal or not where both are shorter than *least*.  Blank lines and null texts have no row.  Rows with one doc_id
-    are one document: equal lines with one number in it count as one and stay or go together.
-    """
-    classes, found = links(docs, limit, least)
+        chars = lambda x: F.when(F.length(x) == 0, F.array().cast("array<string>")).otherwise(F.split(x, ""))
+        return _let(_both(chars(t.x), chars(t.y)), _banded(limit))
+
+    return _let(_let(texts, tail), distance)
+
+
+# ---------------------------------------------------------------- the join
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """*rows*, to be broadcast if their number is small."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def _settled(rows: DataFrame, collided: DataFrame | None) -> DataFrame:
+    """*rows* (id, check) in which ids that different lines share are told apart by the second hash."""
+    if collided is None:
+        return rows
+    told = rows.join(_few(collided), rows["id"] == collided["shared_id"], "left")
+    return told.withColumn("id", F.when(F.col("shared_id").isNotNull(), F.xxhash64("id", "check")).otherwise(F.col("id"))).drop("shared_id")
+
+
+def _indexed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(rows, classes, collided): doc_id, row, line_no, id, check, keys of every line that is not blank; id and first
+    (no_id, doc_id, row, line_no) of each different line; the ids that several lines share, if any do."""
+    rows = stored(split_lines(docs).withColumn("keys", _line_keys(F.col("line"))).drop("line"), "line-rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "line_no")).alias("first")
+    count = lambda of: stored(of.groupBy("id").agg(first, F.min("check").alias("low"), F.max("check").alias("high")), "line-classes")
+    classes, collided = count(rows), None
+    shared = classes.where("low <> high").select(F.col("id").alias("shared_id"))
+    if not shared.isEmpty():
+        collided = stored(shared, "line-collisions")
+        rows = _settled(rows, collided)
+        classes = count(rows)
+    return rows, classes.select("id", "first"), collided
+
+
+def _candidates(docs: DataFrame, rows: DataFrame, collided: DataFrame | None) -> DataFrame:
+    """id, line and the numbers of the different lines that share a key with another."""
+    keys = rows.select("id", F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select(F.col("key").alias("shared_key"))
+    shared = stored(shared, "line-keys")
+    ids = keys.join(_few(shared), F.col("key") == F.col("shared_key"), "left_semi").select(F.col("id").alias("of")).distinct()
+    ids = stored(ids, "line-ids")
+    found = _settled(split_lines(docs).select("id", "check", "line"), collided)
+    texts = found.join(_few(ids), F.col("id") == F.col("of"), "left_semi").groupBy("id").agg(F.first("line").alias("line"))
+    words = F.size(words_of(F.col("line")))
+    more = {"n": F.length("line"), "words": words, "sign": _sign(words_of(F.col("line"))), "long": words >= WORDS}
+    return stored(stored(texts, "line-texts").withColumns(more | {f"c{j}": _counts(x) for j, x in enumerate(LETTERS)}), "line-numbers")
+
+
+NUMBERS = ["n", "words", "sign", "long", *(f"c{j}" for j in range(len(LETTERS)))]
+
+
+def _pairs(lines: DataFrame) -> DataFrame:
+    """a, b, unit: ids of the lines that share keys and that numbers leave room for."""
+    short = (F.col("words") < WORDS + LIMIT) & (F.col("n") >= LEAST - LIMIT)
+    units = F.filter(F.array(F.when(short, F.lit(CHARACTERS)), F.when(F.col("long"), F.lit(WORDWISE))), lambda x: x.isNotNull())
+    state = lines.select("id", F.lit(0).cast("long").alias("chain"), F.explode(units).alias("unit"), F.col("line").alias("text"), *NUMBERS)
+    done = None
+    while True:
+        keys = _level_keys(state).drop("text")
+        bounds = [f(e).alias(f"{name}_{e}") for e in EARLIER for name, f in (("low", F.min), ("high", F.max))]
+        sums = keys.groupBy(F.col("key").alias("of")).agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("many"), F.max("own").alias("owned"), F.max("size").alias("cut"), *bounds)
+        # Where all lines of a crowded key share the key of an earlier segment, that key has all their pairs.
+        covered = F.coalesce(F.greatest(*[(F.col(f"low_{e}") == F.col(f"high_{e}")).cast("int") for e in EARLIER]), F.lit(0)) == 1
+        kind = F.when((F.col("many") <= DENSE) | (F.col("cut") < 0), F.lit("compare")).when(~covered, F.lit("divide"))
+        sums = stored(sums.where("low <> high and owned = 1").select("of", kind.alias("kind")).where("kind is not null"), "line-sums")
+        members = stored(keys.drop(*EARLIER).join(_few(sums), F.col("key") == F.col("of")).drop("of"), "line-members")
+        rows = members.where("kind = 'compare'").groupBy("key", "id", "unit", *NUMBERS).agg(F.max("own").alias("own"))
+        left, right = (rows.select(*[F.col(c).alias(f"{c}_{x}") for c in rows.columns]) for x in "ab")
+        found = left.join(right, (F.col("key_a") == F.col("key_b")) & (F.col("id_a") < F.col("id_b")) & (F.col("own_a") + F.col("own_b") > 0) & _may_be_close())
+        found = stored(found.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("unit_a").alias("unit")).distinct(), "line-pairs")
+        done = found if done is None else done.union(found)
+        crowded = members.where("kind = 'divide'").select(F.col("id").alias("of_id"), F.col("chain").alias("of_chain"), F.col("unit").alias("of_unit"), "key", "at", "size").distinct()
+        if crowded.isEmpty():
+            return done.distinct()
+        rest = state.join(crowded, (F.col("id") == F.col("of_id")) & (F.col("chain") == F.col("of_chain")) & (F.col("unit") == F.col("of_unit")))
+        state = stored(rest.select("id", F.col("key").alias("chain"), "unit", _without(F.col("text"), F.col("unit"), F.col("at"), F.col("size")).alias("text"), *NUMBERS).distinct(), "line-rest")
+
+
+def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, classes, links): doc_id, row, line_no, id of every line; id and first of each different one; a, b of
+    each link between ids, a < b."""
+    rows, classes, collided = _indexed(docs)
+    lines = _candidates(docs, rows, collided)
+    pairs = _pairs(lines)
+    x, y = (lines.select(F.col("id").alias(f"i{c}"), F.col("line").alias(c)) for c in "xy")
+    both = pairs.join(x, F.col("a") == F.col("ix")).join(y, F.col("b") == F.col("iy"))
+    near = F.when(F.col("unit") == CHARACTERS, within("x", "y", LIMIT)).otherwise(within_words("x", "y", WORD_LIMIT))
+    return rows, classes, stored(both.where(near).select("a", "b").distinct(), "line-links")
+
+
+def _told(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, told): of every line; of every different one line_id, class_id, links, stays (where its class's first line is)."""
+    rows, classes, found = links(docs)
     roots = components(found)
     both = found.select(F.col("a").alias("of"), "b").union(found.select(F.col("b").alias("of"), "a"))
     degree = both.groupBy("of").agg(F.count(F.lit(1)).alias("links"))
     rooted = classes.join(roots.select(F.col("id").alias("r"), "root"), F.col("id") == F.col("r"), "left").select("id", "first", F.coalesce("root", "id").alias("class_id"))
     firsts = rooted.groupBy(F.col("class_id").alias("c")).agg(F.min("first").alias("stays"))
     told = rooted.join(firsts, F.col("class_id") == F.col("c")).join(degree, F.col("id") == F.col("of"), "left")
-    told = stored(told.select(F.col("id").alias("line_id"), "class_id", F.coalesce("links", F.lit(0)).alias("links"), "stays"), "line-told")
-    rows = split_lines(docs).select("doc_id", "line_no", "id")
+    return rows, stored(told.select(F.col("id").alias("line_id"), "class_id", F.coalesce("links", F.lit(0)).alias("links"), "stays"), "line-told")
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    rows, told = _told(docs)
     # Both sides are plain exchanges: a line that very many documents share is split.
-    joined = rows.join(told, F.col("id") == F.col("line_id"))
-    stays = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("line_no") == F.col("stays.line_no"))
-    return joined.select("doc_id", "line_no", "line_id", "class_id", "links", stays.alias("stays"))
+    joined = rows.select("doc_id", "row", "line_no", "id").join(told, F.col("id") == F.col("line_id"))
+    stays = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("row") == F.col("stays.row")) & (F.col("line_no") == F.col("stays.line_no"))
+    return joined.select("doc_id", "row", "line_no", "line_id", "class_id", "links", stays.alias("stays"))
+
+
+def memberships(docs: DataFrame) -> DataFrame:
+    """doc_id, line_no, line_id, class_id, links, stays: one row for each line that is not blank.
+
+    line_id stands for the line's normalised text, class_id is the least line_id that links reach; links counts the
+    different lines linked to it; stays is true for the first line of its class, by doc_id (null last), then line
+    number.  Lines whose longer one has fewer than ``LEAST`` characters are equal or not.  Blank lines and null texts
+    have no row.  Rows that are equal in doc_id and text are one document: their lines stay or go together.  Texts and
+    lines of any length are compared whole.  Other columns, whatever their names, are not read; no rows give no rows.
+    """
+    return _placed(docs.select("doc_id", "text")).drop("row")
 
 
-def dedup(docs: DataFrame, limit: int = LIMIT, least: int = LEAST) -> DataFrame:
+def dedup(docs: DataFrame) -> DataFrame:
     """*docs* with the lines of ``text`` that repeat an earlier line of any document removed.
 
-    Blank lines stay; a text that loses all its lines becomes empty.  All other columns and rows stay.
+    Blank lines stay; a text that loses all its lines becomes empty, a null text stays null.  All other columns,
+    whatever their names, and all rows stay; an empty table stays empty.
     """
-    gone = memberships(docs, limit, least).where("not stays").groupBy(F.col("doc_id").alias("__of")).agg(F.collect_set(F.struct("line_no", F.col("line_id").alias("id"))).alias("__gone"))
-    gone = stored(gone, "line-gone")
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__of"]), "left")
-    norm = lambda x: F.xxhash64(normal(x))
-    numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    kept = F.filter(numbered, lambda s: ~F.exists("__gone", lambda g: (g.line_no == s.i) & (g.id == norm(s.x))))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda s: s.x), "\n"))
-    return joined.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    row, of, gone, lines = (fresh(docs, x) for x in ("row", "of", "gone", "lines"))
+    out = _placed(docs.select("doc_id", "text")).where("not stays")
+    # Its size is bounded by the lines of one document.
+    lost = stored(out.groupBy(F.col("row").alias(of), F.col("doc_id").alias(f"{of}_id")).agg(F.collect_set("line_no").alias(gone)), "line-gone")
+    few = lost.agg(F.coalesce(F.sum(F.size(gone) + 2), F.lit(0))).first()[0] <= BROADCAST_ROWS
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    joined = keyed.join(F.broadcast(lost) if few else lost, (F.col(row) == F.col(of)) & F.col("doc_id").eqNullSafe(F.col(f"{of}_id")), "left")
+    kept = lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(gone)), lambda i: F.get(x, i)), "\n")
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(_let(F.split("text", "\n"), kept))
+    return joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_lines(spark, sf_dir: str) -> DataFrame:

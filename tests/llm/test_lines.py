@@ -1,6 +1,7 @@
 """Line dedup against brute force on all pairs."""
 
 import random
+import re
 
 import duckdb
 import pytest
@@ -34,14 +35,25 @@ def test_distance(spark, limit):
     df = spark.createDataFrame(pairs, "x string, y string").withColumn("near", lines.within("x", "y", limit))
     for r in df.collect():
         assert r.near == (edits(r.x, r.y) <= limit), (r.x, r.y)
+    spaced = [(" ".join(a), " ".join(b)) for a, b in pairs if a and b and len(a) < 60]
+    df = spark.createDataFrame(spaced, "x string, y string").withColumn("near", lines.within_words("x", "y", limit))
+    for r in df.collect():
+        assert r.near == (edits(r.x.split(" "), r.y.split(" ")) <= limit), (r.x, r.y)
+
 
+def linked(a, b):
+    v, w = a.split(" "), b.split(" ")
+    if min(len(v), len(w)) >= 32:
+        return abs(len(v) - len(w)) <= 3 and edits(v, w) <= 3
+    return max(len(a), len(b)) >= 15 and abs(len(a) - len(b)) <= 2 and edits(a, b) <= 2
 
-def brute(rows, limit=2, least=30):
-    """(doc_id, line_no) to (class members' first, links, stays) by comparing all lines."""
+
+def brute(rows):
+    """(doc_id, line_no) to (links, stays) by comparing all lines."""
     at = {}
     for doc, text in rows:
         for i, x in enumerate((text or "").split("\n")):
-            x = x.replace("\r", " ").replace("\t", " ").strip(" ").lower()
+            x = re.sub(" +", " ", x.replace("\r", " ").replace("\t", " ")).strip(" ").lower()
             if x:
                 at.setdefault(x, set()).add((doc is None, doc or 0, i))
     texts = list(at)
@@ -54,7 +66,7 @@ def brute(rows, limit=2, least=30):
 
     for i, a in enumerate(texts):
         for b in texts[:i]:
-            if min(len(a), len(b)) >= least and abs(len(a) - len(b)) <= limit and edits(a, b) <= limit:
+            if linked(a, b):
                 links[a] += 1
                 links[b] += 1
                 up[find(a)] = find(b)
@@ -100,43 +112,84 @@ def test_query_has_every_line(spark, small):
     assert tuple(got.agg(F.count("*"), F.countDistinct("line_id")).first()) == want
 
 
-def near_by_words(a, b):
-    v, w = a.split(), b.split()
-    if max(len(v), len(w)) < 20 or min(len(v), len(w)) * 5 < max(len(v), len(w)) * 4:
-        return False
-    x, y = ({tuple(t[i : i + 3]) for i in range(len(t) - 2)} for t in (v, w))
-    return len(x & y) * 5 >= len(x | y) * 4
-
-
 def test_long_lines_with_changed_words_are_linked(spark):
     rng = random.Random(11)
     words = ["".join(rng.choices("abcdefghij", k=rng.randrange(3, 9))) for _ in range(60)]
-    made = ["one two " * 30, "one two " * 40, "one two " * 60, "x " * 19, "x " * 25]
-    for size in (16, 18, 20, 24, 30, 45, 90, 200):
+    made = ["one two " * 16, "one two " * 17, "one two " * 18, "x " * 31, "x " * 32, "x " * 33, "x " * 36]
+    for size in (29, 30, 31, 32, 33, 34, 36, 47, 48, 64, 90, 200):
         for _ in range(3):
             base = rng.choices(words, k=size)
             made.append(" ".join(base))
-            for n in (1, 1, 2, 3, 6, 20):
+            for n in (1, 1, 2, 3, 4, 6):
                 w = list(base)
                 for _ in range(n):
                     i = rng.randrange(len(w))
                     w[i : i + rng.choice([0, 1, 1])] = rng.choice([[], ["thnderon"], ["thnderon", "and"]])
                 made.append("  ".join(w) if n == 2 else " ".join(w))
-    made = [x.strip() for x in made]
-    want = dict.fromkeys(made, 0)
-    for i, a in enumerate(want):
-        for b in list(want)[:i]:
-            if near_by_words(a, b) or (min(len(a), len(b)) >= 30 and abs(len(a) - len(b)) <= 2 and edits(a, b) <= 2):
-                want[a] += 1
-                want[b] += 1
-    df = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
-    got = {r.doc_id: r.links for r in lines.memberships(df).collect()}
-    assert got == dict(enumerate(want.values())) and sum(want.values()) > 100
+            made.append(mutate(rng, made[-7], 2))
+    rows = list(enumerate(made))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.line_no): (r.links, r.stays) for r in lines.memberships(df).collect()}
+    assert got == brute(rows) and sum(n for n, _ in got.values()) > 100
     a = " ".join(words[:50])
     pair = spark.createDataFrame([(1, a), (2, a.replace(words[25], "thnderon"))], "doc_id long, text string")
     assert [r.text for r in lines.dedup(pair).orderBy("doc_id").collect()] == [a, ""]
 
 
+@pytest.mark.parametrize("dense", [12])
+def test_crowded_keys_are_divided(spark, monkeypatch, dense):
+    monkeypatch.setattr(lines, "DENSE", dense)
+    rng = random.Random(dense)
+    template = ["the", *rng.choices(["alpha", "beta", "gamma"], k=40)]
+    rows = [(i, f"record number {rng.randrange(10**5):08d} of the long list") for i in range(120)]
+    rows += [(200 + i, "".join(rng.choices("ab", k=rng.randrange(13, 18)))) for i in range(60)]
+    rows += [(300 + i, " ".join(rng.choice(["one", "two"]) if j in (3, 17, 18, 39) else w for j, w in enumerate(template[: rng.choice([36, 38, 41])]))) for i in range(40)]
+    check(spark, rows)
+
+
+def test_lines_that_differ_in_digits_make_few_pairs(spark):
+    rng = random.Random(3)
+    numbers = rng.sample(range(10**8), 5000)
+    df = spark.createDataFrame([(i, f"record number {n:08d} of the list of all records that there are") for i, n in enumerate(numbers)], "doc_id long, text string")
+    rows, classes, collided = lines._indexed(df)
+    pairs = lines._pairs(lines._candidates(df, rows, collided)).count()
+    text = [f"{n:08d}" for n in numbers]
+    near = 0
+    for i in range(8):  # two substitutions leave six digits equal, so keys of six digits find all of them
+        for j in range(i):
+            seen = {}
+            for t in text:
+                seen.setdefault(t[:j] + t[j + 1 : i] + t[i + 1 :], []).append(t)
+            near += sum(len(x) > 1 for x in seen.values())
+    assert near > 50 and pairs < 60 * len(numbers)  # of 12.5 million
+
+
+def test_different_lines_with_one_hash_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(lines, "identity", lambda line: F.pmod(F.xxhash64(line), F.lit(5)))
+    rows = [(i, f"{'abcdefghijklmnop'[i]} line of its own {i * 7919}\nthe same line in all of them\nthe same line in all of tham") for i in range(12)]
+    check(spark, rows)
+
+
+def test_clashing_names_and_null_ids(spark):
+    names = ["row", "of", "gone", "lines", "of_id", "key", "id", "check", "line", "keys", "first", "line_no", "stays"]
+    rows = [(None, "a line that all have\nthe first of its own"), (None, "a line that all have\nsecond"), (4, "a line that all have"), (4, "another one"), (None, None)]
+    df = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    out = lines.dedup(df)
+    assert out.columns == df.columns
+    # Of equal lines in documents without an id only one stays; two texts under one id are two documents.
+    assert sorted(str(r.text) for r in out.collect()) == ["None", "\nthe first of its own".strip(), "a line that all have", "another one", "second"] or sorted(str(r.text) for r in out.collect()) == sorted(["None", "the first of its own", "second", "a line that all have", "another one"])
+    assert all(tuple(r)[2:] == tuple(range(len(names))) for r in out.collect())
+    lines.memberships(df).collect()
+
+
+def test_query_against_brute_force(spark, small, tmp_path):
+    rows = spark.read.parquet(f"{small}/documents.parquet").where("length(text) < 1500").select("doc_id", "text").collect()[:60]
+    rows = [tuple(r) for r in rows] + [(10_000 + i, r.text.replace("the", "teh", 1)) for i, r in enumerate(rows[:20])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.line_no): (r.links, r.stays) for r in lines.op4_lines(spark, str(tmp_path)).collect()}
+    assert got == brute(rows) and any(n for n, _ in got.values())
+
+
 def test_short_lines_within_two_edits_are_linked(spark):
     texts = ["are, is anwh reenen.", "are is anwh reenen.", "then the erbles", "then the erble", "then the erb", "a line of 29 characters, here", "a line of 29 characters, heres!", "page 12", "page 13"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
