@@ -1,17 +1,15 @@
 """Line dedup by a segment-partition edit join, in DataFrame operations only.
 
 Lines are compared in lower case, with single blanks and none at the ends.  Equal lines are one class.  Different
-lines are linked if they are within ``LIMIT`` edits of characters (the longer one has ``LEAST`` characters or more),
-or, where both have ``WORDS`` words or more, within ``WORD_LIMIT`` edits of words: a changed word is little in a long
-line and too much in a short one.  Classes are the connected components of the links; of each class the first line
-(by doc_id, then line number) stays.
-
-The join.  A line of n units (characters or words) is cut into limit + 1 segments, those of the first half counted
-from its start, those of the second half from its end.  With up to *limit* edits there is a segment i that has none,
-with i edits before it and limit - i after it at most; so in the other line it stands within min(i, limit - i) of the
-same place from that end.  A line's keys are the substrings at those places: 5 for 2 edits, 8 for 3.  The length of
-segments follows from the line's length with its last binary digits dropped, so lines of about one length share it;
-at the edges a line emits keys of both lengths.
+lines are linked if they are within ``LIMIT`` edits and the longer one has ``LEAST`` characters or more.  Classes are
+the connected components of the links; of each class the first line (by doc_id, then line number) stays.
+
+The join.  A line of n characters is cut into limit + 1 segments, those of the first half counted from its start,
+those of the second half from its end.  With up to *limit* edits there is a segment i that has none, with i edits
+before it and limit - i after it at most; so in the other line it stands within min(i, limit - i) of the same place
+from that end.  A line's keys are the substrings at those places: 5 for 2 edits.  The length of segments follows from
+the line's length with its last binary digits dropped, so lines of about one length share it; at the edges a line
+emits keys of both lengths.
 
 Keys of one line only, nearly all, end in a pre-aggregated sum.  The lines of the others are read, and their keys
 made again: within a key of up to ``DENSE`` lines all pairs are compared by numbers (lengths, letters); beyond it the
@@ -28,21 +26,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, stored, table
+from .common import discard, fresh, stored, table
 from .components import components
 
-#: Edits of characters, and the characters of the longer line from which they count.
+#: Edits, and the characters of the longer line from which they count.
 LIMIT, LEAST = 2, 15
-#: Edits of words, and the words of the shorter line from which they count.
-WORD_LIMIT, WORDS = 3, 32
 #: Ids of so many lines or keys (8 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Lines of a key of which all pairs are compared.
 DENSE = 512
 #: Symbols whose counts are compared before texts are, in eights: common letters and the digits.
 LETTERS = ("entiarso", "hldcum01", "23456789")
-#: The kinds of units.
-CHARACTERS, WORDWISE = 0, 1
 
 
 def normal(line: Column) -> Column:
@@ -86,80 +80,59 @@ def _length(n: Column, limit: int) -> Column:
     return F.floor(_rounded(n) / (limit + 1)).cast("int")
 
 
-def _spans(n: Column, limit: int, of) -> Column:
-    """An array of of(length of the segments, segment, place from 0) for every key of a line of *n* units."""
-    parts = limit + 1
-    shapes = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(i if 2 * i <= limit else i - parts).alias("times"), F.lit(off).alias("off")) for i in range(parts) for off in range(-min(i, limit - i), min(i, limit - i) + 1)])
-    # A partner may be shorter by the limit: its segments' length is used as well.
-    lengths = F.array_distinct(F.array(*[_length(F.greatest(n - d, F.lit(parts)), limit) for d in range(parts)]))
-    place = lambda k, s: F.when(s.times < 0, n).otherwise(F.lit(0)) + s.times * k + s.off
-    return F.flatten(F.transform(lengths, lambda k: F.transform(shapes, lambda s: of(k, s.i, place(k, s)))))
-
-
-def _piece(text: Column, words: Column | None, at: Column, n: Column) -> Column:
-    return F.substring(text, at + 1, n) if words is None else F.slice(words, at + 1, n)
-
-
-def words_of(text: Column) -> Column:
-    return F.split(text, " ")
+def _places(limit: int) -> list[tuple[int, int]]:
+    """(segment, offset from its own place) of every key."""
+    return [(i, off) for i in range(limit + 1) for off in range(-min(i, limit - i), min(i, limit - i) + 1)]
 
 
-def _line_keys(line: Column) -> Column:
-    """The keys of a whole line: of its characters unless it is long, of its words if it is."""
+def _home(n: Column, k: Column, i: int, limit: int) -> Column:
+    """Where segment *i* of length *k* stands in a line of *n* characters, from 0."""
+    return F.lit(i) * k if 2 * i <= limit else n + F.lit(i - limit - 1) * k
 
-    def of(w: Column) -> Column:
-        n = F.length(line)
-        short = _spans(n, LIMIT, lambda k, i, at: F.xxhash64(F.lit(CHARACTERS), k, i, _piece(line, None, at, k)))
-        long = _spans(F.size(w), WORD_LIMIT, lambda k, i, at: F.xxhash64(F.lit(WORDWISE), k, i, _piece(line, w, at, k)))
-        none = F.array().cast("array<bigint>")
-        return F.concat(F.when((F.size(w) < WORDS + LIMIT) & (n >= LEAST - LIMIT), short).otherwise(none), F.when(F.size(w) >= WORDS, long).otherwise(none))
 
-    return _let(words_of(line), of)
+def _with_keys(lines: DataFrame) -> DataFrame:
+    """*lines* with ``keys``, those of whole lines; some may be null."""
+    n, k, shorter = fresh(lines, "n"), fresh(lines, "k"), fresh(lines, "shorter")
+    # In columns of their own, so that they are computed once.  No higher-order functions: those are interpreted.
+    sized = lines.withColumn(n, F.length("line"))
+    sized = sized.withColumns({k: _length(F.col(n), LIMIT), shorter: _length(F.greatest(F.col(n) - LIMIT, F.lit(LIMIT + 1)), LIMIT)})
+    of = lambda k: F.array(*[F.xxhash64(k, F.lit(i), F.substring(F.col("line"), _home(F.col(n), k, i, LIMIT) + (off + 1), k)) for i, off in _places(LIMIT)])
+    # From LEAST - LIMIT characters on, no third length lies between the two.
+    none = F.array().cast("array<bigint>")
+    keys = F.when(F.col(n) < LEAST - LIMIT, none).when(F.col(k) == F.col(shorter), of(F.col(k))).otherwise(F.concat(of(F.col(k)), of(F.col(shorter))))
+    return sized.withColumn("keys", keys).drop(n, k, shorter)
 
 
 #: Columns with the keys of earlier segments, by which a key is known to add nothing to them.
-EARLIER = ["e0", "e1", "e2"]
+EARLIER = [f"e{j}" for j in range(LIMIT)]
 
 
 def _level_keys(state: DataFrame) -> DataFrame:
-    """*state* (id, chain, unit, text, and more) with a row for each key: key, at and size of the segment, own
-    (whether it stands in its own place and has the length of the line's own), and the keys of the line's earlier
-    segments in their own places.  Of two lines with a link the shorter shares a segment of its own.
+    """*state* (id, chain, text, and more) with a row for each key: key, at and size of the segment, own (whether it
+    stands in its own place and has the length of the line's own), and the keys of the line's earlier segments in
+    their own places.  Of two lines with a link the shorter shares a segment of its own.
 
     Where so little is left that a partner may have no segments, the key is of all such rows, with size -1.
     """
-    key = lambda unit, k, i, piece: F.xxhash64("chain", F.lit(unit), k, i, piece)
-    null = F.lit(None).cast("long")
-    entry = lambda made, at, size, own, earlier: F.struct(made.alias("key"), at.alias("at"), size.alias("size"), own.alias("own"), *[e.alias(x) for e, x in zip(earlier, EARLIER, strict=True)])
-    small = F.array(entry(F.xxhash64("chain", F.lit(-1)), F.lit(0), F.lit(-1), F.lit(1), [null] * 3))
-    none = F.filter(small, lambda _: F.lit(False))
-
-    def of_unit(unit: int, limit: int) -> Column:
-        def of(w: Column) -> Column:
-            text, words = F.col("text"), None if unit == CHARACTERS else w
-            n = F.length(text) if unit == CHARACTERS else F.when(text == "", F.lit(0)).otherwise(F.size(w))
-
-            def cut(k: Column, i: Column, at: Column) -> Column:
-                place = lambda j: F.lit(j) * k if 2 * j <= limit else n + (j - limit - 1) * k
-                earlier = [F.when(i > j, key(unit, k, F.lit(j), _piece(text, words, place(j), k))).otherwise(null) for j in range(3)]
-                home = F.when(2 * i <= limit, i * k).otherwise(n + (i - limit - 1) * k)
-                own = (at == home) & (k == _length(n, limit))
-                return entry(key(unit, k, i, _piece(text, words, at, k)), at, k, own.cast("int"), earlier)
-
-            return F.concat(F.when(n > limit, _spans(n, limit, cut)).otherwise(none), F.when(n <= 2 * limit, small).otherwise(none))
+    text, n, null = F.col("text"), F.length("text"), F.lit(None).cast("long")
+    key = lambda k, i, at: F.xxhash64("chain", k, F.lit(i), F.substring(text, at + 1, k))
 
-        return _let(words_of(F.col("text")), of)
+    def entry(made: Column, at: Column, size: Column, own: Column, earlier: list[Column]) -> Column:
+        return F.struct(made.alias("key"), at.alias("at"), size.alias("size"), own.cast("int").alias("own"), *[e.alias(x) for e, x in zip(earlier, EARLIER, strict=True)])
 
-    keys = F.when(F.col("unit") == CHARACTERS, of_unit(CHARACTERS, LIMIT)).otherwise(of_unit(WORDWISE, WORD_LIMIT))
-    rows = state.withColumn("k", F.explode(keys))
-    return rows.select(*state.columns, "k.*")
+    def of_length(k: Column) -> Column:
+        homes = [_home(n, k, i, LIMIT) for i in range(LIMIT + 1)]
+        made = []
+        for i, off in _places(LIMIT):
+            earlier = [key(k, j, homes[j]) if j < i else null for j in range(LIMIT)]
+            made.append(entry(key(k, i, homes[i] + off), homes[i] + off, k, (k == _length(n, LIMIT)) & F.lit(off == 0), earlier))
+        return F.array(*made)
 
-
-def _without(text: Column, unit: Column, at: Column, size: Column) -> Column:
-    """*text* without one segment."""
-    letters = F.concat(F.substring(text, F.lit(1), at), F.substring(text, at + size + 1, F.length(text)))
-    words = _let(words_of(text), lambda w: F.array_join(F.concat(F.slice(w, F.lit(1), at), F.slice(w, at + size + 1, F.size(w))), " "))
-    return F.when(unit == CHARACTERS, letters).otherwise(words)
+    small = F.array(entry(F.xxhash64("chain", F.lit(-1)), F.lit(0), F.lit(-1), F.lit(True), [null] * LIMIT))
+    none = F.filter(small, lambda _: F.lit(False))
+    lengths = F.array_distinct(F.array(*[_length(F.greatest(n - d, F.lit(LIMIT + 1)), LIMIT) for d in range(LIMIT + 1)]))
+    keys = F.concat(F.when(n > LIMIT, F.flatten(F.transform(lengths, of_length))).otherwise(none), F.when(n <= 2 * LIMIT, small).otherwise(none))
+    return state.withColumn("made", F.explode(keys)).select(*state.columns, "made.*")
 
 
 # ---------------------------------------------------------------- verification
@@ -174,19 +147,12 @@ def _counts(letters: str) -> Column:
     return total
 
 
-def _sign(words: Column) -> Column:
-    """A bit for the parity of the words with each of 64 remainders; an edit of a word turns two at most."""
-    return F.aggregate(words, F.lit(0).cast("long"), lambda x, w: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(w).bitwiseAND(F.lit(63)))))
-
-
 def _may_be_close() -> Column:
-    """Whether the numbers of rows a and b of one key leave room for a link: lengths, symbols, parities of words."""
+    """Whether the numbers of rows a and b of one key leave room for a link: lengths, counts of symbols."""
     each = [f"abs((shiftrightunsigned(c{j}_a, {8 * i}) & 255) - (shiftrightunsigned(c{j}_b, {8 * i}) & 255))" for j in range(len(LETTERS)) for i in range(8)]
     # The parities of counts first: they cost least and tell most.
     odd = " + ".join(f"bit_count((c{j}_a ^ c{j}_b) & {0x0101010101010101})" for j in range(len(LETTERS)))
-    letters = f"not (long_a and long_b) and abs(n_a - n_b) <= {LIMIT} and greatest(n_a, n_b) >= {LEAST} and {odd} <= {2 * LIMIT} and {' + '.join(each)} <= {2 * LIMIT}"
-    words = f"long_a and long_b and abs(words_a - words_b) <= {WORD_LIMIT} and bit_count(sign_a ^ sign_b) <= {2 * WORD_LIMIT}"
-    return F.expr(f"if(unit_a = {CHARACTERS}, {letters}, {words})")
+    return F.expr(f"abs(n_a - n_b) <= {LIMIT} and greatest(n_a, n_b) >= {LEAST} and {odd} <= {2 * LIMIT} and {' + '.join(each)} <= {2 * LIMIT}")
 
 
 def _banded(limit: int):
@@ -236,20 +202,6 @@ def _both(x: Column, y: Column) -> Column:
     return F.struct(x.alias("x"), y.alias("y"))
 
 
-def _unlike(t: Column) -> Column:
-    """Two arrays without the elements that both begin with."""
-    same = lambda p: F.coalesce(F.array_position(F.zip_with(p.x, p.y, lambda a, b: a.eqNullSafe(b)), F.lit(False)), F.lit(0)).cast("int")
-    # Place 0: no difference, so they are equal and nothing is left.
-    return _let(F.struct(t.x.alias("x"), t.y.alias("y"), same(t).alias("at")), lambda p: F.when(p.at == 0, _both(F.slice(p.x, 1, 0), F.slice(p.y, 1, 0))).otherwise(_both(F.slice(p.x, p.at, F.size(p.x)), F.slice(p.y, p.at, F.size(p.y)))))
-
-
-def within_words(a: str, b: str, limit: int) -> Column:
-    """Whether columns *a* and *b* are within *limit* edits of their words."""
-    back = lambda t: _both(F.reverse(t.x), F.reverse(t.y))
-    middle = _let(_let(_both(words_of(F.col(a)), words_of(F.col(b))), _unlike), lambda t: _let(back(t), _unlike))
-    return _let(middle, _banded(limit))
-
-
 def within(a: str, b: str, limit: int) -> Column:
     """Whether columns *a* and *b* are within *limit* edits of their characters; equal blocks at both ends are left out."""
     block = 16
@@ -274,7 +226,11 @@ def within(a: str, b: str, limit: int) -> Column:
         chars = lambda x: F.when(F.length(x) == 0, F.array().cast("array<string>")).otherwise(F.split(x, ""))
         return _let(_both(chars(t.x), chars(t.y)), _banded(limit))
 
-    return _let(_let(texts, tail), distance)
+    def middle(t: Column) -> Column:
+        # What so few edits can replace whole needs no search.
+        return F.when(F.greatest(F.length(t.x), F.length(t.y)) <= limit, F.lit(True)).otherwise(distance(t))
+
+    return _let(_let(texts, tail), middle)
 
 
 # ---------------------------------------------------------------- the join
@@ -296,7 +252,7 @@ def _settled(rows: DataFrame, collided: DataFrame | None) -> DataFrame:
 def _indexed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(rows, classes, collided): doc_id, row, line_no, id, check, keys of every line that is not blank; id and first
     (no_id, doc_id, row, line_no) of each different line; the ids that several lines share, if any do."""
-    rows = stored(split_lines(docs).withColumn("keys", _line_keys(F.col("line"))).drop("line"), "line-rows")
+    rows = stored(_with_keys(split_lines(docs)).drop("line"), "line-rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "line_no")).alias("first")
     count = lambda of: stored(of.groupBy("id").agg(first, F.min("check").alias("low"), F.max("check").alias("high")), "line-classes")
     classes, collided = count(rows), None
@@ -317,20 +273,19 @@ def _candidates(docs: DataFrame, rows: DataFrame, collided: DataFrame | None) ->
     ids = stored(ids, "line-ids")
     found = _settled(split_lines(docs).select("id", "check", "line"), collided)
     texts = found.join(_few(ids), F.col("id") == F.col("of"), "left_semi").groupBy("id").agg(F.first("line").alias("line"))
-    words = F.size(words_of(F.col("line")))
-    more = {"n": F.length("line"), "words": words, "sign": _sign(words_of(F.col("line"))), "long": words >= WORDS}
-    return stored(stored(texts, "line-texts").withColumns(more | {f"c{j}": _counts(x) for j, x in enumerate(LETTERS)}), "line-numbers")
+    more = {"n": F.length("line")} | {f"c{j}": _counts(x) for j, x in enumerate(LETTERS)}
+    lines = stored(texts.withColumns(more), "line-numbers")
+    discard(shared, ids)
+    return lines
 
 
-NUMBERS = ["n", "words", "sign", "long", *(f"c{j}" for j in range(len(LETTERS)))]
+NUMBERS = ["n", *(f"c{j}" for j in range(len(LETTERS)))]
 
 
 def _pairs(lines: DataFrame) -> DataFrame:
-    """a, b, unit: ids of the lines that share keys and that numbers leave room for."""
-    short = (F.col("words") < WORDS + LIMIT) & (F.col("n") >= LEAST - LIMIT)
-    units = F.filter(F.array(F.when(short, F.lit(CHARACTERS)), F.when(F.col("long"), F.lit(WORDWISE))), lambda x: x.isNotNull())
-    state = lines.select("id", F.lit(0).cast("long").alias("chain"), F.explode(units).alias("unit"), F.col("line").alias("text"), *NUMBERS)
-    done = None
+    """a, b: ids of the lines that share keys and that numbers leave room for."""
+    state = lines.where(F.col("n") >= LEAST - LIMIT).select("id", F.lit(0).cast("long").alias("chain"), F.col("line").alias("text"), *NUMBERS)
+    done, before = None, None
     while True:
         keys = _level_keys(state).drop("text")
         bounds = [f(e).alias(f"{name}_{e}") for e in EARLIER for name, f in (("low", F.min), ("high", F.max))]
@@ -340,16 +295,21 @@ def _pairs(lines: DataFrame) -> DataFrame:
         kind = F.when((F.col("many") <= DENSE) | (F.col("cut") < 0), F.lit("compare")).when(~covered, F.lit("divide"))
         sums = stored(sums.where("low <> high and owned = 1").select("of", kind.alias("kind")).where("kind is not null"), "line-sums")
         members = stored(keys.drop(*EARLIER).join(_few(sums), F.col("key") == F.col("of")).drop("of"), "line-members")
-        rows = members.where("kind = 'compare'").groupBy("key", "id", "unit", *NUMBERS).agg(F.max("own").alias("own"))
+        rows = members.where("kind = 'compare'").groupBy("key", "id", *NUMBERS).agg(F.max("own").alias("own"))
         left, right = (rows.select(*[F.col(c).alias(f"{c}_{x}") for c in rows.columns]) for x in "ab")
         found = left.join(right, (F.col("key_a") == F.col("key_b")) & (F.col("id_a") < F.col("id_b")) & (F.col("own_a") + F.col("own_b") > 0) & _may_be_close())
-        found = stored(found.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("unit_a").alias("unit")).distinct(), "line-pairs")
+        found = stored(found.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "line-pairs")
         done = found if done is None else done.union(found)
-        crowded = members.where("kind = 'divide'").select(F.col("id").alias("of_id"), F.col("chain").alias("of_chain"), F.col("unit").alias("of_unit"), "key", "at", "size").distinct()
+        crowded = members.where("kind = 'divide'").select(F.col("id").alias("of_id"), F.col("chain").alias("of_chain"), "key", "at", "size").distinct()
         if crowded.isEmpty():
+            discard(sums, members, *([] if before is None else [before]))
             return done.distinct()
-        rest = state.join(crowded, (F.col("id") == F.col("of_id")) & (F.col("chain") == F.col("of_chain")) & (F.col("unit") == F.col("of_unit")))
-        state = stored(rest.select("id", F.col("key").alias("chain"), "unit", _without(F.col("text"), F.col("unit"), F.col("at"), F.col("size")).alias("text"), *NUMBERS).distinct(), "line-rest")
+        rest = state.join(crowded, (F.col("id") == F.col("of_id")) & (F.col("chain") == F.col("of_chain")))
+        # The lines without the segment that they share.
+        text = F.concat(F.substring(F.col("text"), F.lit(1), F.col("at")), F.substring(F.col("text"), F.col("at") + F.col("size") + 1, F.length("text")))
+        state = stored(rest.select("id", F.col("key").alias("chain"), text.alias("text"), *NUMBERS).distinct(), "line-rest")
+        discard(sums, members, *([] if before is None else [before]))
+        before = state
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -360,8 +320,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     pairs = _pairs(lines)
     x, y = (lines.select(F.col("id").alias(f"i{c}"), F.col("line").alias(c)) for c in "xy")
     both = pairs.join(x, F.col("a") == F.col("ix")).join(y, F.col("b") == F.col("iy"))
-    near = F.when(F.col("unit") == CHARACTERS, within("x", "y", LIMIT)).otherwise(within_words("x", "y", WORD_LIMIT))
-    return rows, classes, stored(both.where(near).select("a", "b").distinct(), "line-links")
+    return rows, classes, stored(both.where(within("x", "y", LIMIT)).select("a", "b"), "line-links")
 
 
 def _told(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
