@@ -10,15 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Rows in one Arrow batch: documents may be long, so batches are kept small.
-BATCH_ROWS = 1024
+#: Rows and bytes of one Arrow batch: documents may be long, so batches are kept small.
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 
 
 def session(df: DataFrame) -> SparkSession:
-    """The session of *df*, with Arrow batches small enough for long texts."""
+    """The session of *df*, with Arrow batches small enough for long texts (lower settings stay as they are)."""
     spark = df.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
     return spark
 
 
@@ -41,7 +43,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write *df* into the shared folder and read it back: its lineage ends there."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of stored() frames that nothing reads any more."""
+    for df in frames:
+        jvm, spark = df.sparkSession._jvm, df.sparkSession
+        place = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -129,13 +141,24 @@ def held_out(doc_id: str = "doc_id"):
 
 
 class Memo(dict):
-    """Values of words by a function, kept while there are not too many of them."""
+    """Values of words by a function, for at most twice *most* words: those in use when it fills stay once more.
+
+    It is made in a task and ends with it; an entry of a usual word takes some 200 bytes, longer ones are not kept.
+    """
+
+    LONG = 64
 
-    def __init__(self, of: Callable, most: int = 1_000_000) -> None:
-        self.of, self.most = of, most
+    def __init__(self, of: Callable, most: int = 150_000) -> None:
+        self.of, self.most, self.old = of, most, {}
 
     def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.of(key)
+            if len(key) > self.LONG:
+                return value
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.of(key)
+        self[key] = value
         return value

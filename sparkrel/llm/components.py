@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -19,9 +19,11 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         # Large star: neighbours above an id are linked to its smallest neighbour.
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        edges = stored(_star(both, F.col("b") > F.col("a")), "links")
+        large = stored(_star(both, F.col("b") > F.col("a")), "links")
         # Small star: neighbours below an id, and the id, are linked to the smallest.
-        edges = stored(_star(edges, F.lit(True)), "links")
+        small = stored(_star(large, F.lit(True)), "links")
+        discard(edges, large)
+        edges = small
         now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 30)))).first())
         if now == before:
             break

@@ -128,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 6_000, label: str = "q
     sample = labelled(docs, labels, label, most).select("text", "label")
 
     def run(batches):
-        memo = Memo(features)
+        memo = Memo(features, 50_000)
         for batch in batches:
             found = [vector(t, memo) for t in texts(batch)]
             if found:
