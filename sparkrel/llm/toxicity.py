@@ -1,13 +1,16 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Both classes have a model of expressions (words) with interpolated absolute discounting over continuation
-counts: how many different left neighbours an expression has, so that copies of a passage count once.  What
-the discount takes goes to the expression's stem, and from there to counts that both classes share; the
-shares that go down are equal for both classes, so an expression that is rare or as usual in either class
-tells nothing.  A document is compared over its most telling expressions: the mean of the log-likelihood
-ratio over so many of their occurrences (the length), by which long and short documents are scored alike and
-one insult that is repeated tells as much as two.  A logistic curve, fitted on labelled documents kept apart
-from the counts, turns it into a probability.
+Both classes, toxic and ordinary, have a model of expressions (words): a word's count in a class is the number of
+different words to its left there, or of documents if those are fewer, so that neither copies nor one long document
+make it common.  Each count gives up the Kneser-Ney discount n1 / (n1 + 2 n2) of its class.  What the discounts free
+goes to the word's stem (its first letters), whose counts in the class are discounted likewise, and from there to
+counts that both classes share: in how many of the classes a stem, and a word within its stem, occurs at all.  Either
+model's probabilities sum to one over the words that are known, an unknown one in each stem, and an unknown stem.
+
+A document is scored by length-normalised log-likelihoods, toxic against ordinary: over the whole of it, over its
+passages of 16 and of 4 words (the most toxic of each), and over its two most toxic words, as two insults among 3000
+words leave no trace in the mean of all.  A logistic curve over these four, fitted on labelled documents kept apart
+from the counts, makes a probability of them.
 
 Counts come from labelled rows only, at most ``per_class`` of either class (by hash order), which bounds the
 model that is sent to the workers.  Scoring is a map over all documents.
@@ -16,7 +19,7 @@ model that is sent to the workers.  Scoring is a map over all documents.
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +31,8 @@ from .common import Memo, add_columns, column, fresh, held_out, labelled, map_ba
 
 EDGE = ".,;:!?\"'()[]{}|*#$%&@-_/\\<>=+~`^«»“”„…¿¡"
 STEM = 4
-#: Share of each level that the next one below gets.
-BACK = 0.4
+#: Words in the passages that are compared, and the number of words that count by themselves.
+PASSAGES, SINGLE = (16, 4), 2
 
 
 def expression(raw: str) -> str:
@@ -37,125 +40,146 @@ def expression(raw: str) -> str:
 
 
 def counts(sample: DataFrame) -> DataFrame:
-    """label, word, n: the number of different words to the left of each word in each class's documents."""
+    """label, word, n: the different words to the left of each word in each class, or its documents if they are fewer."""
 
     def run(batches):
         for batch in batches:
             found = set()
-            for text, label in zip(texts(batch), column(batch, "label").to_pylist(), strict=True):
+            for text, label, doc in zip(texts(batch), column(batch, "label").to_pylist(), column(batch, "doc").to_pylist(), strict=True):
                 words = [w for w in map(expression, text.lower().split()) if w]
-                found.update(zip([label] * len(words), ["", *words], words))
+                found.update(zip([label] * len(words), [False] * len(words), words, ["", *words]))
+                found.update((label, True, w, doc) for w in set(words))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), [pa.int64(), pa.string(), pa.string()], strict=True)], names=["label", "before", "word"])
+                kinds = [pa.int64(), pa.bool_(), pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=["label", "whole", "word", "x"])
 
-    pairs = map_batches(sample.select("text", "label"), "label long, before string, word string", run)
-    return pairs.distinct().groupBy("label", "word").agg(F.count(F.lit(1)).alias("n"))
+    src = sample.select("text", "label", F.xxhash64("doc_id").cast("string").alias("doc"))
+    places = map_batches(src, "label long, whole boolean, word string, x string", run).distinct()
+    return places.groupBy("label", "word").agg(F.least(F.count_if("whole"), F.count_if(~F.col("whole"))).alias("n"))
+
+
+class Level:
+    """Discounted counts of two classes (ordinary, toxic) and what each class leaves to the level below."""
+
+    def __init__(self, found: dict[str, tuple[int, int]]) -> None:
+        self.found, self.total, self.discount, self.left = found, [], [], []
+        for k in (0, 1):
+            own = [c[k] for c in found.values() if c[k]]
+            sizes, total = Counter(own), max(1, sum(own))
+            once, twice = sizes[1], sizes[2]
+            discount = once / (once + 2 * twice) if once and twice else 0.5
+            self.total.append(total)
+            self.discount.append(discount)
+            self.left.append(discount * len(own) / total if own else 1.0)
+
+    def kept(self, k: int, key: str) -> float:
+        n = self.found.get(key, (0, 0))[k]
+        return (n - self.discount[k]) / self.total[k] if n else 0.0
+
+    def shared(self, key: str) -> int:
+        """The number of classes that have *key*; one that neither has counts as one."""
+        return sum(n > 0 for n in self.found.get(key, ())) or 1
 
 
 class Model:
-    """Log-likelihood ratios of words and stems."""
-
-    def __init__(self, word_counts: dict[str, tuple[int, int]], stem_counts: dict[str, tuple[int, int]], discount: float = 1.0) -> None:
-        """Counts are (ordinary, toxic)."""
-        self.stems = self._ratios(stem_counts, discount, {})
-        self.words = self._ratios(word_counts, discount, self.stems)
-
-    @staticmethod
-    def _ratios(found: dict[str, tuple[int, int]], discount: float, below: dict[str, float]) -> dict[str, float]:
-        """log p(toxic) - log p(ordinary) of each key that either class still has after discounting."""
-        if not found:
-            return {}
-        n = np.array(list(found.values()), np.float64)
-        total = n.sum(axis=0)
-        if not total.all():
-            return {}
-        # The smaller class loses `discount` of a count, the larger as much in proportion to its size.
-        kept = np.maximum(n - discount * total / total.min(), 0)
-        mass = np.maximum(kept.sum(axis=0), 1e-9)
-        shared = (n.sum(axis=1) + 0.5) / (total.sum() + 0.5 * len(n))
-        # Below a word stands its stem, whose ratio tilts what both classes share.
-        tilt = np.exp(np.array([below.get(k[:STEM], 0.0) for k in found]) / 2) if below else np.ones(len(n))
-        p = (1 - BACK) * kept / mass + BACK * np.stack([shared / tilt, shared * tilt], axis=1)
-        ratio = np.log(p[:, 1]) - np.log(p[:, 0])
-        return {k: float(r) for k, r, any_ in zip(found, ratio, kept.any(axis=1), strict=True) if any_}
+    """The probabilities of words in both classes, and their log ratios."""
+
+    def __init__(self, found: dict[str, tuple[int, int]]) -> None:
+        """Counts of words are (ordinary, toxic)."""
+        stems: dict[str, list[int]] = {}
+        self.types: dict[str, int] = defaultdict(int)
+        self.words = Level(found)
+        for word, (a, b) in found.items():
+            own = stems.setdefault(word[:STEM], [0, 0])
+            own[0] += a
+            own[1] += b
+            self.types[word[:STEM]] += self.words.shared(word)
+        self.stems = Level({k: tuple(v) for k, v in stems.items()})
+        self.all = sum(map(self.stems.shared, stems)) + 1
+
+    def stem_probability(self, k: int, stem: str) -> float:
+        return self.stems.kept(k, stem) + self.stems.left[k] * self.stems.shared(stem) / self.all
+
+    def probability(self, k: int, word: str) -> float:
+        """P(word | class k); an unknown word stands for all unknown ones of its stem, an unknown stem for all such."""
+        stem = word[:STEM]
+        within = self.words.shared(word) / (self.types.get(stem, 0) + 1)
+        return self.words.kept(k, word) + self.words.left[k] * self.stem_probability(k, stem) * within
 
     def ratio(self, raw: str) -> float:
+        """log P(word | toxic) - log P(word | ordinary); nothing but marks tells nothing."""
         word = expression(raw)
-        found = self.words.get(word)
-        return self.stems.get(word[:STEM], 0.0) if found is None else found
+        return math.log(self.probability(1, word) / self.probability(0, word)) if word else 0.0
 
 
-def statistic(text: str, memo: Memo, length: int, repeats: int = 1) -> float:
-    """Mean ratio of the *length* most telling expressions, with a trace of the mean over the whole text.
-
-    An expression counts as often as it occurs, *repeats* times at most.
-    """
+def features(text: str, memo: Memo) -> list[float]:
+    """Length-normalised log-likelihood ratios: of the whole text, of its most toxic passages, of its most toxic words."""
     words = text.lower().split()
     if not words:
-        return 0.0
-    telling: dict[str, float] = {}
-    times: Counter[str] = Counter()
-    for w, n in Counter(words).items():
-        if (r := memo[w]) > 0.5:
-            telling[expression(w)] = r
-            times[expression(w)] += n
-    best = sorted((r for w, r in telling.items() for _ in range(min(repeats, times[w]))), reverse=True)[:length]
-    best += [0.5] * (length - len(best))
-    return sum(best) / length + 0.02 * max(-2.0, min(2.0, sum(map(memo.__getitem__, words)) / len(words)))
-
-
-def _statistics(docs: DataFrame, model, length: int, name: str) -> DataFrame:
-    def make():
-        memo = Memo(model.value.ratio)
-        return lambda batch: [[statistic(t, memo, length, length) for t in texts(batch)]]
+        return [0.0] * (len(PASSAGES) + 2)
+    r = np.fromiter(map(memo.__getitem__, words), np.float64, len(words))
+    sums = np.concatenate([[0.0], np.cumsum(r)])
+    best = [float((sums[w:] - sums[:-w]).max() if len(r) > w else sums[-1]) / w for w in PASSAGES]
+    top = np.partition(r, -SINGLE)[-SINGLE:] if len(r) > SINGLE else r
+    return [float(r.mean()), *best, float(top.sum()) / SINGLE]
+
 
-    return add_columns(docs, [T.StructField(name, T.DoubleType())], make)
+NAMES = ["mean", *(f"best{w}" for w in PASSAGES), "top"]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept by Newton's method, with a small ridge."""
-    rows, w = np.stack([x, np.ones_like(x)], axis=1), np.zeros(2)
-    for _ in range(60):
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+    """A weight for each column of *x* and the intercept, by Newton's method with a small ridge."""
+    rows, w = np.concatenate([x, np.ones((len(x), 1))], axis=1), np.zeros(x.shape[1] + 1)
+    hold = np.diag([ridge] * x.shape[1] + [1e-3])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
-        curve = (rows * (p * (1 - p) * weight)[:, None]).T @ rows + 1e-2 * np.eye(2)
-        step = np.linalg.solve(curve, rows.T @ ((y - p) * weight) - 1e-2 * w)
+        step = np.linalg.solve((rows.T * (p * (1 - p) * weight)) @ rows + hold, rows.T @ ((y - p) * weight) - hold @ w)
         w += step
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0]), float(w[1])
+    return w
 
 
-def score(docs: DataFrame, labels: DataFrame, length: int = 2, per_class: int = 10_000) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, per_class: int = 3_000) -> DataFrame:
     """*docs* with ``toxicity`` (0 to 1; an underscore is added where the name is taken).
 
-    *labels* has doc_id and toxic, 0 or 1; the rows to learn from.  Only texts are inputs of a score: equal
-    texts have equal scores.  Null and empty texts score as texts without telling expressions.  Without
-    labels of both classes every score is 0.5.  Other columns and repeated rows pass through.
+    *labels* has doc_id and toxic, 0 or 1; the rows to learn from, *per_class* of either class at most.  Only texts
+    are inputs of a score: equal texts have equal scores.  Null and empty texts score as texts that tell nothing; texts
+    of any length count whole.  Without labels of both classes every score is 0.5.  Other columns and repeated rows
+    pass through; an empty table gives no rows.
     """
     spark = docs.sparkSession
     both = [labelled(docs, labels, "toxic", per_class, F.col("label") == k) for k in (0, 1)]
     sample = both[0].unionByName(both[1]).withColumn("apart", F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0)
     found = counts(sample.where("not apart")).groupBy("word").agg(*[F.coalesce(F.sum(F.when(F.col("label") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in (0, 1)])
-    # A word that occurs in one context only is wholly discounted in either class; its stem has it.
-    words, stems = {}, {}
-    for word, a, b in found.toLocalIterator():
-        if a + b > 1:
-            words[word] = (a, b)
-        x = stems.get(word[:STEM], (0, 0))
-        stems[word[:STEM]] = (x[0] + a, x[1] + b)
-    model = spark.sparkContext.broadcast(Model(words, stems))
-    tried = [(r.label, r.x) for r in _statistics(sample.where("apart").select("text", "label"), model, length, "x").select("label", "x").collect()]
+    # Bounded by the labelled documents of the sample.
+    model = spark.sparkContext.broadcast(Model({word: (a, b) for word, a, b in found.toLocalIterator()}))
+
+    def try_out():
+        memo = Memo(model.value.ratio)
+        return lambda batch: [list(c) for c in zip(*(features(t, memo) for t in texts(batch)), strict=True)]
+
+    tried = add_columns(sample.where("apart").select("text", "label"), [T.StructField(x, T.DoubleType()) for x in NAMES], try_out).select("label", *NAMES).collect()
     out = fresh(docs, "toxicity")
-    x = fresh(docs, "__statistic")
-    if len({y for y, _ in tried}) < 2:
+    y = np.array([r.label for r in tried], np.float64)
+    if len(set(y.tolist())) < 2:
         return docs.withColumn(out, F.lit(0.5))
+    # As many of either class as all labels have, not as the sample.
     of_class = dict(labels.where("toxic is not null").groupBy("toxic").count().collect())
-    y = np.array([a for a, _ in tried], np.float64)
-    share = {k: of_class.get(k, 1) / max(1, sum(a == k for a, _ in tried)) for k in (0, 1)}
+    share = {k: of_class.get(k, 1) / max(1, (y == k).sum()) for k in (0, 1)}
     weight = np.where(y == 1, share[1], share[0])
-    slope, at_zero = logistic(np.array([b for _, b in tried]), y, weight * len(y) / weight.sum())
-    done = _statistics(docs, model, length, x)
-    return done.withColumn(out, 1 / (1 + F.exp(-(F.col(x) * slope + at_zero)))).drop(x)
+    curve = logistic(np.array([r[1:] for r in tried], np.float64), y, weight * len(y) / weight.sum())
+
+    def each():
+        memo = Memo(model.value.ratio)
+
+        def run(batch):
+            x = np.array([features(t, memo) for t in texts(batch)]) @ curve[:-1] + curve[-1]
+            return [1 / (1 + np.exp(-np.clip(x, -700, 700)))]
+
+        return run
+
+    return add_columns(docs, [T.StructField(out, T.DoubleType())], each)
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:

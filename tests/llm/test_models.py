@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -51,34 +52,118 @@ def test_quality_on_odd_tables(spark):
     assert all(r["expected_grade_"] is None and r["tail_probability_"] == 1 for r in none)
 
 
+def test_three_grades_through_spark(spark):
+    rng = random.Random(5)
+    kinds = {0: ["junk", "trash"], 5: ["plain", "usual"], 9: ["fine", "deep"]}
+    rows = [(i, " ".join(rng.choices(kinds[g] + ["the", "of"], k=12)), g) for i, g in enumerate(rng.choices([0, 5, 9], k=240))]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, g) for i, _, g in rows if i % 2], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.score(docs, labels, cut=9).collect()}
+    apart = [(g, got[i]) for i, _, g in rows if not i % 2]
+    assert sum((r.tail_probability >= 0.5) == (g == 9) for g, r in apart) / len(apart) > 0.95
+    mean = {g: np.mean([r.expected_grade for h, r in apart if h == g]) for g in (0, 5, 9)}
+    assert mean[0] < 2 < 3.5 < mean[5] < 6.5 < 7.5 < mean[9]
+
+
+def test_quality_query_has_every_document(spark, small):
+    got = quality.op6_quality(spark, small).collect()
+    model = quality.train(spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        # f(text) by the definition: mean over words of the weights of their features, and those of the whole text.
+        words = (texts[r.doc_id] or "").split()
+        f = sum(model.weights[i] for w in words for i in quality.features(w)) / max(1, len(words)) + sum(model.weights[i] * v for i, v in quality.whole(words))
+        want = 1 - 1 / (1 + math.exp(f - model.thresholds[0]))
+        assert r.tail_probability == pytest.approx(want, abs=1e-6) and r.expected_grade == pytest.approx(want, abs=1e-6) and r.selected == (r.tail_probability >= 0.5)
+
+
 # ---------------------------------------------------------------- toxicity
 
 
-def test_counts_are_of_different_neighbours(spark):
-    df = spark.createDataFrame([("a b. A b", 1), ("a b", 1), ("c b", 0), ("", 0), (None, 0)], "text string, label long")
+def test_counts_are_of_neighbours_or_documents(spark):
+    df = spark.createDataFrame([(1, "a b. A b", 1), (2, "a b", 1), (3, "c b x b y b", 0), (4, "", 0), (5, None, 0), (6, "a b", 1)], "doc_id long, text string, label long")
     got = {(r.label, r.word): r.n for r in toxicity.counts(df).collect()}
-    assert got == {(1, "a"): 2, (1, "b"): 1, (0, "c"): 1, (0, "b"): 1}
+    assert got == {(1, "a"): 2, (1, "b"): 1, (0, "c"): 1, (0, "b"): 1, (0, "x"): 1, (0, "y"): 1}
+
+
+FOUND = {"badword": (0, 30), "badly": (2, 9), "usual": (300, 30), "rare": (0, 1), "plain": (700, 69), "once": (1, 0), "two": (2, 0), "pair": (0, 2), "pairs": (1, 1)}
+
+
+def test_probabilities_sum_to_one():
+    for found in (FOUND, {"x": (1, 0)}, {"x": (5, 5), "y": (5, 5)}):
+        m = toxicity.Model(found)
+        stems = {w[: toxicity.STEM] for w in found}
+        for k in (0, 1):
+            known = sum(m.probability(k, w) for w in found)
+            unknown = sum(m.probability(k, s + "\0unknown") for s in stems if len(s) == toxicity.STEM) + sum(m.probability(k, s) * 0 for s in stems)
+            short = sum(m.words.left[k] * m.stem_probability(k, s) / (m.types[s] + 1) for s in stems if len(s) < toxicity.STEM)
+            assert known + unknown + short + m.probability(k, "\0\0\0\0") == pytest.approx(1)
 
 
 def test_ratios_against_the_formula():
-    words = {"badword": (0, 30), "usual": (300, 30), "rare": (0, 1), "plain": (700, 69)}
-    m = toxicity.Model(words, {"badw": (0, 30), "usua": (300, 30), "rare": (0, 1), "plai": (700, 69)})
-    assert m.ratio("badword,") > 3 and m.ratio("badwords") > 2 and abs(m.ratio("usual")) < 0.3 and m.ratio("never") == 0 and m.ratio("rare") == 0
-    # One level by hand: discounts in proportion to class size, equal shares to what is shared below.
-    n, total = np.array([[0, 30], [970, 70]], float), np.array([970.0, 100.0])
-    r = toxicity.Model._ratios({"x": (0, 30), "y": (970, 70)}, 1.0, {})
-    kept = np.maximum(n - total / 100, 0)
-    shared = (n.sum(axis=1) + 0.5) / (total.sum() + 1)
-    p = 0.6 * kept / kept.sum(axis=0) + 0.4 * shared[:, None]
-    assert r["x"] == pytest.approx(math.log(p[0, 1] / p[0, 0])) and r["y"] == pytest.approx(math.log(p[1, 1] / p[1, 0]))
-
-
-def test_statistic_ignores_length_and_copies():
-    memo = Memo({"bad": 4.0, "worse": 5.0}.get, 100)
-    memo.of = lambda w: {"bad": 4.0, "worse": 5.0}.get(toxicity.expression(w), 0.0)
-    short = toxicity.statistic("bad, worse.", memo, 2)
-    long = toxicity.statistic("word " * 5000 + "bad worse", memo, 2)
-    assert abs(short - 4.5) < 0.06 and abs(long - 4.5) < 0.06 and toxicity.statistic("bad bad. bad! " * 50, memo, 2) < 2.5 and toxicity.statistic("", memo, 2) == 0
+    m = toxicity.Model(FOUND)
+    assert m.ratio("badword,") > 3 and m.ratio("badwords") > 1 and abs(m.ratio("usual")) < 0.3 and 0 < m.ratio("rare") < m.ratio("badword") and m.ratio("...") == 0
+    # By hand, from the counts: discounts, shared counts of classes, stems.
+    stems = {}
+    for w, n in FOUND.items():
+        stems[w[:4]] = [a + b for a, b in zip(stems.get(w[:4], (0, 0)), n, strict=True)]
+
+    def left(table, k):
+        own = [n[k] for n in table.values() if n[k]]
+        d = own.count(1) / (own.count(1) + 2 * own.count(2)) if 1 in own and 2 in own else 0.5
+        return d, sum(own), d * len(own) / sum(own)
+
+    def p(k, w):
+        d, total, rest = left(stems, k)
+        classes = lambda n: sum(x > 0 for x in n)
+        stem = max(stems[w[:4]][k] - d, 0) / total + rest * classes(stems[w[:4]]) / (sum(map(classes, stems.values())) + 1)
+        d, total, rest = left(FOUND, k)
+        return max(FOUND[w][k] - d, 0) / total + rest * stem * classes(FOUND[w]) / (sum(classes(n) for v, n in FOUND.items() if v[:4] == w[:4]) + 1)
+
+    for w in FOUND:
+        assert m.probability(0, w) == pytest.approx(p(0, w)) and m.ratio(w) == pytest.approx(math.log(p(1, w) / p(0, w)))
+
+
+def test_features_by_brute_force():
+    rng = random.Random(4)
+    values = {f"w{i}": rng.uniform(-1, 1) for i in range(30)} | {"bad": 5.0}
+    for n in (0, 1, 2, 3, 4, 5, 15, 16, 17, 200):
+        words = rng.choices(list(values), k=n)
+        memo = Memo(values.get, 100)
+        r = [values[w] for w in words]
+        best = lambda size: max((sum(r[i : i + size]) for i in range(max(1, n - size + 1))), default=0) / size  # noqa: B023, E731
+        want = [sum(r) / max(1, n), best(16), best(4), sum(sorted(r)[-2:]) / 2]
+        assert toxicity.features(" ".join(words), memo) == pytest.approx(want)
+
+
+def test_query_scores_by_brute_force(spark, tmp_path):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(40)]
+    docs = [(i, " ".join(rng.choices(words, k=20)) + (f" vile {rng.choice(words)} nasty" if i % 3 == 0 else "")) for i in range(240)] + [(900, None), (901, "")]
+    labels = [(i, int(i % 3 == 0)) for i in range(240)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in toxicity.op7_toxicity(spark, str(tmp_path)).collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 3 == 1 for i, _ in docs}
+    apart = {r.id for r in spark.range(240).where(F.pmod(F.xxhash64("id"), F.lit(4)) == 0).collect()}
+    places, holders = {}, {}
+    for i, text in docs[:240]:
+        if not held[i] and i not in apart:
+            own = text.lower().split()
+            for before, w in zip(["", *own], own, strict=False):
+                places.setdefault((labels[i][1], w), set()).add(before)
+                holders.setdefault((labels[i][1], w), set()).add(i)
+    found = {w: tuple(min(len(places.get((k, w), ())), len(holders.get((k, w), ()))) for k in (0, 1)) for _, w in places}
+    memo = Memo(toxicity.Model(found).ratio, 1000)
+    tried = [i for i in apart if not held[i]]
+    y = np.array([labels[i][1] for i in tried], float)
+    n = [sum(x == k for i, x in labels if not held[i]) for k in (0, 1)]
+    weight = np.where(y == 1, n[1] / sum(y == 1), n[0] / sum(y == 0))
+    curve = toxicity.logistic(np.array([toxicity.features(docs[i][1], memo) for i in tried]), y, weight * len(y) / weight.sum())
+    for i, text in docs:
+        want = 1 / (1 + math.exp(-(float(np.dot(toxicity.features(text or "", memo), curve[:-1])) + curve[-1])))
+        assert got[i].held_out == held[i] and got[i].score == pytest.approx(want, abs=1e-6) and got[i].predicted == (got[i].score >= 0.7)
 
 
 def test_toxicity_on_held_out_rows(spark):
@@ -117,6 +202,3 @@ def test_one_repeated_insult_is_enough(spark):
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(600)], "doc_id long, toxic int")
     got = {r.doc_id: r.toxicity for r in toxicity.score(docs, labels).where("doc_id >= 1000").collect()}
     assert got[1000] >= 0.7 and got[1001] < 0.3
-    memo = Memo({"bad": 4.0}.get, 100)
-    memo.of = lambda w: {"bad": 4.0}.get(toxicity.expression(w), 0.0)
-    assert abs(toxicity.statistic("bad, word Bad! word", memo, 2, 2) - 4.0) < 0.06 and toxicity.statistic("bad word", memo, 2, 2) < 2.5
