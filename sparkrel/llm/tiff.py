@@ -34,18 +34,22 @@ class TiffError(ValueError):
 # ---------------------------------------------------------------- codecs
 
 
-def packbits_decode(data: bytes) -> bytes:
-    out, i, n = [], 0, len(data)
-    while i < n:
+def packbits_decode(data: bytes, size: int | None = None) -> bytes:
+    """The bytes of packed runs, up to the run that completes *size* of them."""
+    out, i, n, made = [], 0, len(data), 0
+    while i < n and (size is None or made < size):
         head = data[i]
         if head < 128:
-            out.append(data[i + 1 : i + 2 + head])
+            run = data[i + 1 : i + 2 + head]
             i += 2 + head
         elif head > 128:
-            out.append(data[i + 1 : i + 2] * (257 - head))
+            run = data[i + 1 : i + 2] * (257 - head)
             i += 2
         else:
+            run = b""
             i += 1
+        out.append(run)
+        made += len(run)
     return b"".join(out)
 
 
@@ -69,10 +73,10 @@ def packbits_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, most significant bit first, widened one code early."""
+def lzw_decode(data: bytes, size: int | None = None) -> bytes:
+    """Codes of 9 to 12 bits, most significant bit first, widened one code early, up to *size* bytes or little more."""
     base = [bytes((i,)) for i in range(256)] + [b"", b""]
-    words, out = base[:], []
+    words, out, made = base[:], [], 0
     bits = width = at = 0
     width, last = 9, b""
     for byte in data:
@@ -88,6 +92,8 @@ def lzw_decode(data: bytes) -> bytes:
             words, width, last = base[:], 9, b""
             continue
         if not last:
+            if code > 255:
+                raise TiffError("LZW code beyond the table")
             word = words[code]
         else:
             if code < len(words):
@@ -101,6 +107,9 @@ def lzw_decode(data: bytes) -> bytes:
                 width += 1
         out.append(word)
         last = word
+        made += len(word)
+        if size is not None and made >= size:
+            break
     return b"".join(out)
 
 
@@ -145,15 +154,20 @@ def lzw_encode(data: bytes) -> bytes:
 
 
 def _unpack(data: bytes, scheme: int, size: int) -> bytes:
+    """At least *size* bytes, if there are so many; never many more."""
     if scheme == NONE:
         return data
     if scheme in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data, bufsize=max(size, 64))
+        return zlib.decompressobj().decompress(data, size)
     if scheme == PACKBITS:
-        return packbits_decode(data)
-    if scheme == LZW:
-        return lzw_decode(data)
-    raise TiffError(f"compression {scheme}")
+        return packbits_decode(data, size)
+    return lzw_decode(data, size)
+
+
+#: Bytes that one byte of each scheme can stand for at most (LZW: a code of 9 bits for a word of 4096).
+RATIO = {NONE: 1, LZW: 4096, DEFLATE: 1040, OLD_DEFLATE: 1040, PACKBITS: 64}
+#: Each byte with its bits in the opposite order.
+TURNED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 
 
 def _pack(data: bytes, scheme: int, level: int) -> bytes:
@@ -237,7 +251,7 @@ def directories(data: bytes) -> Iterator[dict[int, tuple]]:
         at = struct.unpack_from(order + word, data, at + head + n * entry)[0]
 
 
-def _unpredict(part: np.ndarray, predictor: int, order: str) -> np.ndarray:
+def _unpredict(part: np.ndarray, predictor: int) -> np.ndarray:
     if predictor == 2:
         return np.add.accumulate(part, axis=1, dtype=part.dtype)
     if predictor == 3:
@@ -249,28 +263,51 @@ def _unpredict(part: np.ndarray, predictor: int, order: str) -> np.ndarray:
     return part
 
 
+def _samples(raw: bytes, rows: int, per_row: int, bits: int, kind: np.dtype) -> np.ndarray:
+    """rows x per_row samples; those of less than a byte are packed row by row."""
+    if bits >= 8:
+        return np.frombuffer(raw, kind, rows * per_row).reshape(rows, per_row)
+    packed = np.frombuffer(raw, np.uint8, rows * -(-per_row * bits // 8)).reshape(rows, -1)
+    single = np.unpackbits(packed, axis=1)[:, : per_row * bits].reshape(rows, per_row, bits)
+    return (single << np.arange(bits - 1, -1, -1, dtype=np.uint8)).sum(axis=2, dtype=np.uint8)
+
+
 def page(data: bytes, tags: dict[int, tuple]) -> np.ndarray:
-    """The samples of one directory's image: height x width x samples."""
+    """The samples of one directory's image: height x width x samples; 1, 2 and 4 bits become a byte.
+
+    An image that its bytes cannot hold, or whose strips or tiles are not all there, is an error.
+    """
     one = lambda tag, default: tags.get(tag, (default,))[0]
     order, width, height, samples = tags[0][0], one(256, 0), one(257, 0), one(277, 1)
-    bits, scheme, predictor, planar = one(258, 1), one(259, 1), one(317, 1), one(284, 1)
-    if bits not in (8, 16, 32, 64):
-        raise TiffError(f"{bits} bits a sample")
-    kind, deep = np.dtype(f"{order}u{bits // 8}"), samples if planar == 1 else 1
+    depths, scheme, predictor, planar, fill = tags.get(258, (1,)), one(259, 1), one(317, 1), one(284, 1), one(266, 1)
+    bits = depths[0]
+    for what, fine in (("bits a sample", bits in (1, 2, 4, 8, 16, 32, 64) and set(depths) == {bits}), ("compression", scheme in RATIO), ("planes", planar in (1, 2)), ("order of bits", fill in (1, 2)), ("samples", samples > 0), ("predictor", predictor == 1 or predictor == 2 and bits >= 8 or predictor == 3 and bits >= 16)):
+        if not fine:
+            raise TiffError(f"{what} not read: {dict(zip((258, 259, 284, 266, 277, 317), (depths[:8], scheme, planar, fill, samples, predictor), strict=True))}")
+    kind, deep = np.dtype(f"{order}u{max(8, bits) // 8}"), samples if planar == 1 else 1
     tiled = 324 in tags
-    th, tw = (one(323, height), one(322, width)) if tiled else (min(one(278, height), height), width)
+    th, tw = (one(323, 0), one(322, 0)) if tiled else (min(one(278, height), height), width)
     offsets, counts = (tags.get(324, ()), tags.get(325, ())) if tiled else (tags.get(273, ()), tags.get(279, ()))
-    image = np.zeros((height, width, samples), kind.newbyteorder("="))
     if not height or not width:
-        return image
+        return np.zeros((height, width, samples), kind.newbyteorder("="))
+    if min(th, tw) <= 0:
+        raise TiffError("strips or tiles of no size")
     down, across = -(-height // th), -(-width // tw)
+    planes = 1 if planar == 1 else samples
+    if len(offsets) != len(counts) or len(offsets) != down * across * planes:
+        raise TiffError(f"{len(offsets)} strips or tiles of {down * across * planes}")
+    stored = sum(max(0, min(n, len(data) - at)) for at, n in zip(offsets, counts, strict=True))
+    if width * height * samples * bits // 8 > stored * RATIO[scheme] or tiled and th * tw * deep * bits // 8 > max(counts) * RATIO[scheme]:
+        raise TiffError("the bytes cannot hold an image of that size")
+    image = np.zeros((height, width, samples), kind.newbyteorder("="))
     for i, (at, n) in enumerate(zip(offsets, counts, strict=True)):
         plane, rest = divmod(i, down * across)
         y, x = rest // across * th, rest % across * tw
         rows = th if tiled else min(th, height - y)
-        raw = _unpack(data[at : at + n], scheme, rows * tw * deep * kind.itemsize)
-        part = np.frombuffer(raw, kind, rows * tw * deep).reshape(rows, tw, deep)
-        part = _unpredict(part.astype(kind.newbyteorder("=")) if predictor != 3 else part, predictor, order)
+        raw = data[at : at + n]
+        raw = _unpack(raw.translate(TURNED) if fill == 2 else raw, scheme, rows * -(-tw * deep * bits // 8))
+        part = _samples(raw, rows, tw * deep, bits, kind).reshape(rows, tw, deep)
+        part = _unpredict(part.astype(kind.newbyteorder("=")) if predictor != 3 else part, predictor)
         part = part[: height - y, : width - x]
         if planar == 1:
             image[y : y + part.shape[0], x : x + part.shape[1]] = part
@@ -289,37 +326,66 @@ def average_hash(image: np.ndarray) -> str:
     return np.packbits(cells > cells.mean()).tobytes().hex()
 
 
+#: What bad bytes may raise on the way.
+BAD = (TiffError, struct.error, zlib.error, ValueError, IndexError, KeyError, OverflowError, MemoryError)
+#: Bytes of pixels that are gathered before they are handed on.
+HELD = 16 << 20
+
+
 def pages(media: DataFrame, keep: list[str], column_name: str = "media") -> DataFrame:
     """One row for each page of the TIFFs in a binary column, after the columns named in *keep*.
 
-    Null media give no row.  Bytes that are no readable TIFF give one row with a null page and the error;
-    pages before a broken directory stay.  Repeated rows give repeated pages.
+    Null media give no row.  A page that cannot be read gives a row with its number and the error, and the pages
+    after it are read; a broken chain of directories ends with a row without a number.  Bytes that are no TIFF
+    give that row alone.  Names of *keep* stay; the page's own columns get underscores where they meet them.
+    Repeated rows give repeated pages; no rows give none.  Values of any size are read whole; pages are handed on
+    after every 16 MB of pixels.
     """
-    src = media.select(*[F.col(c) for c in keep], F.col(column_name).alias("__media"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]), PAGE_SCHEMA])
-    names = [*keep, *(x.strip().split()[0] for x in PAGE_SCHEMA.split(","))]
+    taken = {c.lower() for c in keep}
+
+    def free(name: str) -> str:
+        while name.lower() in taken:
+            name += "_"
+        return name
+
+    inner = free("media")
+    src = media.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{column_name}`").alias(inner))
+    own = [x.strip().split() for x in PAGE_SCHEMA.split(",")]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]), *(f"{free(n)} {k}" for n, k in own)])
+    names = [*keep, *(free(n) for n, _ in own)]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string()]
+
+    def read(data: bytes):
+        k = None
+        try:
+            for k, tags in enumerate(directories(data)):
+                try:
+                    image = page(data, tags)
+                    get = lambda tag, tags=tags: tags.get(tag, (1,))[0]
+                    yield k, image.shape[1], image.shape[0], image.shape[2], get(258), get(259), get(317), image.tobytes(), average_hash(image), None
+                except BAD as e:
+                    yield k, *[None] * 8, str(e) or type(e).__name__
+        except BAD as e:
+            yield *[None] * 9, str(e) or type(e).__name__
 
     def run(batches):
         for batch in batches:
-            at, rows = [], []
-            for i, data in enumerate(column(batch, "__media").to_pylist()):
-                if data is None:
-                    continue
-                k = 0
-                try:
-                    for k, tags in enumerate(directories(data)):
-                        image = page(data, tags)
-                        get = lambda tag, tags=tags: tags.get(tag, (1,))[0]
-                        rows.append((k, image.shape[1], image.shape[0], image.shape[2], image.dtype.itemsize * 8, get(259), get(317), image.tobytes(), average_hash(image), None))
-                        at.append(i)
-                except (TiffError, struct.error, zlib.error, ValueError, IndexError) as e:
-                    rows.append((None,) * 9 + (str(e) or type(e).__name__,))
+            at, rows, held = [], [], 0
+
+            def made(batch=batch):
+                kept = [batch.column(j).take(pa.array(at, pa.int32())) for j in range(len(keep))]
+                return pa.RecordBatch.from_arrays([*kept, *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)
+
+            for i, data in enumerate(batch.column(len(keep))):
+                for row in read(data.as_py()) if data.is_valid else ():
                     at.append(i)
+                    rows.append(row)
+                    held += len(row[7] or b"")
+                    if held > HELD:
+                        yield made()
+                        at, rows, held = [], [], 0
             if rows:
-                kept = batch.select(keep).take(pa.array(at, pa.int32()))
-                cols = list(zip(*rows, strict=True))
-                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names)
+                yield made()
 
     return map_batches(src, schema, run)
 

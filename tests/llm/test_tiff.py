@@ -63,7 +63,7 @@ def test_float_predictor():
     image = np.random.default_rng(3).normal(size=(3, 5)).astype("<f4")
     raw = image.astype(">f4").view(np.uint8).reshape(3, 5, 4).transpose(0, 2, 1).reshape(3, 20)
     raw = np.concatenate([raw[:, :1], np.diff(raw, axis=1)], axis=1)
-    out = tiff._unpredict(np.frombuffer(raw.tobytes(), "<u4").reshape(3, 5, 1), 3, "<")
+    out = tiff._unpredict(np.frombuffer(raw.tobytes(), "<u4").reshape(3, 5, 1), 3)
     assert (out[:, :, 0].astype("<u4").view("<f4") == image).all()
 
 
@@ -94,3 +94,66 @@ def test_null_empty_and_long_texts(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "é" * 200_000), (3, "é" * 200_000)], "doc_id long, text string")
     got = sorted((r.doc_id, r.n_bytes, len(r.pixels)) for r in tiff.pages(tiff.store_texts(df), ["doc_id", "n_bytes"]).collect())
     assert got == [(1, 0, 64), (2, 0, 64), (3, 400_000, 400_000), (3, 400_000, 400_000)]
+
+
+def patched(data, tag, value):
+    """A copy in which the first directory's *tag* has *value* (of the encoder's 32-bit values)."""
+    out = bytearray(data)
+    at = struct.unpack_from("<I", out, 4)[0]
+    for i in range(struct.unpack_from("<H", out, at)[0]):
+        p = at + 2 + 12 * i
+        if struct.unpack_from("<H", out, p)[0] == tag:
+            struct.pack_into("<I", out, p + 8, value)
+    return bytes(out)
+
+
+def test_bad_files_give_error_rows(spark):
+    good = tiff.encode([np.full((40, 8), 7, np.uint8), np.full((3, 3), 9, np.uint8)], tiff.DEFLATE, 2, rows_per_strip=64)
+    tiled = tiff.encode([np.ones((20, 20), np.uint8)], tiff.LZW, tile=(16, 16))
+    bad = [patched(good, 278, 0), patched(good, 256, 1 << 31), patched(good, 257, 65536), patched(good, 258, 7), patched(good, 259, 77), patched(good, 277, 0), patched(good, 317, 4), patched(tiled, 322, 0), patched(tiled, 323, 1 << 30)]
+    bad.append(patched(tiff.encode([np.ones((40, 8), np.uint8)], rows_per_strip=40), 278, 8))  # fewer strips than rows need
+    df = spark.createDataFrame([(i, bytearray(x), 1, 2, 3) for i, x in enumerate(bad)], "page int, media binary, width int, error int, pixels int")
+    out = tiff.pages(df, ["page", "width", "error", "pixels"])
+    assert out.columns[:4] == ["page", "width", "error", "pixels"] and {"page_", "width_", "error_", "pixels_"} < set(out.columns)
+    rows = out.collect()
+    for i, x in enumerate(bad):
+        own = [r for r in rows if r.page == i]
+        assert own[0]["error_"] and own[0]["pixels_"] is None and own[0]["page_"] == 0, i
+        if x[:200] != tiled[:200] and len(own) > 1:  # the page after it is read
+            assert own[1]["page_"] == 1 and own[1]["pixels_"] == bytes([9] * 9)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.data())
+def test_flipped_bytes_never_raise_anything_else(data):
+    scheme = data.draw(st.sampled_from([tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS]))
+    raw = bytearray(tiff.encode([np.arange(60, dtype=np.uint8).reshape(6, 10), np.zeros((4, 4), np.uint8)], scheme, data.draw(st.sampled_from([1, 2])), tile=data.draw(st.sampled_from([None, (4, 4)]))))
+    for _ in range(data.draw(st.integers(1, 6))):
+        raw[data.draw(st.integers(0, len(raw) - 1))] = data.draw(st.integers(0, 255))
+    try:
+        for tags in tiff.directories(bytes(raw)):
+            try:
+                tiff.average_hash(tiff.page(bytes(raw), tags))
+            except tiff.BAD:
+                pass
+    except tiff.BAD:
+        pass
+
+
+@pytest.mark.parametrize("bits", [1, 2, 4])
+def test_packed_samples_and_turned_bits(bits):
+    image = np.random.default_rng(bits).integers(0, 1 << bits, (5, 11)).astype(np.uint8)
+    packed = b""
+    for row in image:
+        text = "".join(f"{v:0{bits}b}" for v in row)
+        packed += int(text.ljust(-(-len(text) // 8) * 8, "0"), 2).to_bytes(-(-len(text) // 8), "big")
+    for fill in (1, 2):
+        body = packed if fill == 1 else bytes(int(f"{b:08b}"[::-1], 2) for b in packed)
+        tags = {0: ("<",), 256: (11,), 257: (5,), 258: (bits,), 259: (1,), 266: (fill,), 273: (0,), 277: (1,), 278: (5,), 279: (len(body),)}
+        assert (tiff.page(body, tags)[:, :, 0] == image).all()
+
+
+def test_inflation_is_bounded():
+    bomb = zlib.compress(bytes(50_000_000))
+    tags = {0: ("<",), 256: (8,), 257: (8,), 258: (8,), 259: (8,), 273: (0,), 277: (1,), 278: (8,), 279: (len(bomb),)}
+    assert tiff.page(bomb, tags).shape == (8, 8, 1) and len(tiff._unpack(bomb, tiff.DEFLATE, 64)) == 64
