@@ -24,8 +24,10 @@ from .common import fresh, stored, table
 MOST = 3
 #: A plan of up to so many rows (16 bytes a draw) is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
-#: Sources whose sums the driver holds (some 100 bytes each); more are an error.
+#: Sources whose sums the driver holds (some 100 bytes each); more are an error, not a wrong mix.
 MOST_SOURCES = 1_000_000
+#: Shards are so many at least, and more where a shard would take over so many words (about 1 GB).
+SHARDS, SHARD_WORDS = 64, 160_000_000
 
 
 def words(text: Column) -> Column:
@@ -103,17 +105,25 @@ def split(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def plan(docs: DataFrame, shards: int = 64, blocks: int = 512, seed: int = 0, weights: tuple[float, ...] = (1, 2, 3)) -> DataFrame:
+def plan(docs: DataFrame, shards: int | None = None, blocks: int = 512, seed: int = 0, weights: tuple[float, ...] = (1, 2, 3)) -> DataFrame:
     """*docs* with size, source_size, target (of its source) and draws, an array of (epoch, shard).
 
     Names that *docs* already has get underscores.  Sources are ordered by code point, null last, and weigh
-    *weights*, repeating.  A null text has size 0.  Repeated rows are drawn together.  Documents without words
-    are drawn in whole epochs only.  An empty table gives no rows.
+    *weights*, repeating.  A document's block follows from its doc_id and text, so documents without an id, or with
+    one id, fall into blocks of their own; rows that are equal in both are drawn together.  A null text has size 0;
+    texts of any length count whole.  Documents without words are drawn in whole epochs only.  An empty table gives
+    no rows.  Without *shards* their number follows from the words that the mixture takes.
     """
+    return _planned(docs, shards, blocks, seed, weights)[0]
+
+
+def _planned(docs: DataFrame, shards: int | None, blocks: int = 512, seed: int = 0, weights: tuple[float, ...] = (1, 2, 3)) -> tuple[DataFrame, int]:
+    """plan(), and the number of shards."""
     names = [fresh(docs, x) for x in ("size", "source_size", "target", "draws")]
-    block = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(blocks)).cast("int")
-    sized = docs.withColumn(names[0], words(F.col("text"))).withColumn("__block", block)
-    sums = stored(sized.groupBy(F.col("source").alias("s"), F.col("__block").alias("b")).agg(F.sum(names[0]).alias("words")), "mix-blocks")
+    own_block, own_source, other_block = (fresh(docs, x) for x in ("block", "of_source", "of_block"))
+    block = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(blocks)).cast("int")
+    sized = docs.withColumn(names[0], words(F.col("text"))).withColumn(own_block, block)
+    sums = stored(sized.groupBy(F.col("source").alias("s"), F.col(own_block).alias("b")).agg(F.sum(names[0]).alias("words")), "mix-blocks")
     found = sums.groupBy("s").agg(F.sum("words").alias("words")).orderBy(F.col("s").asc_nulls_last()).limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -135,6 +145,7 @@ def plan(docs: DataFrame, shards: int = 64, blocks: int = 512, seed: int = 0, we
     quotas = np.zeros(len(found), np.int64)
     for k, n in chosen.groupBy("k").count().collect():
         quotas[k] = n
+    shards = shards or max(SHARDS, -(-int(sum(wanted)) // SHARD_WORDS))
     ends = np.cumsum(split(quotas, shards, seed), axis=0)
     deals = spark.createDataFrame([(k, ends[:, k].tolist()) for k in range(len(found))], "k int, ends array<long>")
     # Blocks are permuted afresh in each epoch, then dealt to the shards in that order.
@@ -145,25 +156,31 @@ def plan(docs: DataFrame, shards: int = 64, blocks: int = 512, seed: int = 0, we
     shard = F.size(F.filter("ends", lambda e: e <= F.col("turn"))).alias("shard")
     plans = dealt.select("k", "b", F.struct("epoch", shard).alias("draw")).groupBy("k", "b").agg(F.sort_array(F.collect_list("draw")).alias(names[3]))
     # A row for each source and block, drawn or not, so that every document keeps its source's figures.
-    all_blocks = sums.join(sources, sums["s"].eqNullSafe(sources["s"])).select(sources["s"].alias("__s"), F.col("k"), F.col("b"), F.col("source_words").alias(names[1]), F.col("goal").alias(names[2]))
-    whole = all_blocks.join(plans, ["k", "b"], "left").select("__s", F.col("b").alias("__b"), names[1], names[2], F.coalesce(names[3], F.array().cast("array<struct<epoch:int,shard:int>>")).alias(names[3]))
+    all_blocks = sums.join(sources, sums["s"].eqNullSafe(sources["s"])).select(sources["s"].alias(own_source), F.col("k"), F.col("b"), F.col("source_words").alias(names[1]), F.col("goal").alias(names[2]))
+    whole = all_blocks.join(plans, ["k", "b"], "left").select(own_source, F.col("b").alias(other_block), names[1], names[2], F.coalesce(names[3], F.array().cast("array<struct<epoch:int,shard:int>>")).alias(names[3]))
     whole = stored(whole, "mix-plan")
     if len(found) * blocks <= BROADCAST_ROWS:
         whole = F.broadcast(whole)
-    joined = sized.join(whole, sized["source"].eqNullSafe(whole["__s"]) & (sized["__block"] == whole["__b"]))
-    return joined.drop("__block", "__s", "__b")
+    joined = sized.join(whole, sized["source"].eqNullSafe(whole[own_source]) & (sized[own_block] == whole[other_block]))
+    return joined.drop(own_block, own_source, other_block), shards
 
 
-def mix(docs: DataFrame, shards: int = 64, seed: int = 0, **more) -> DataFrame:
-    """The mixture itself: the columns of *docs*, a row for each draw, dealt by shard and shuffled in it."""
-    planned = plan(docs, shards, seed=seed, **more)
-    drawn = planned.withColumn("__draw", F.explode(planned.columns[-1]))
-    dealt = drawn.repartition(shards, F.col("__draw.shard"))
-    order = F.xxhash64(F.lit(seed), F.col("__draw.shard"), F.col("__draw.epoch"), "doc_id")
-    return dealt.sortWithinPartitions(F.col("__draw.shard"), order, "doc_id").select(*[F.col(f"`{c}`") for c in docs.columns])
+def mix(docs: DataFrame, shards: int | None = None, seed: int = 0, **more) -> DataFrame:
+    """The mixture itself: the columns of *docs*, a row for each draw, dealt by shard and shuffled in it.
+
+    Shard i is partition i.  No column of *docs* is touched, whatever its name; see plan() for odd rows.
+    """
+    planned, many = _planned(docs, shards, seed=seed, **more)
+    draw = fresh(planned, "draw")
+    drawn = planned.withColumn(draw, F.explode(planned.columns[-1]))
+    shard, epoch = F.col(f"{draw}.shard"), F.col(f"{draw}.epoch")
+    dealt = drawn.repartitionById(many, shard)
+    order = F.xxhash64(F.lit(seed), shard, epoch, "doc_id", "text")
+    return dealt.sortWithinPartitions(shard, order, "doc_id").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
-    """Every document's size, its source's size and target, and the words that the mixture takes of it."""
+    """Every document's size, its source's size and target, the words that the mixture takes of it, and the shards
+    that take it, one for each time."""
     planned = plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
+    return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), F.col("draws.shard").alias("shards"))

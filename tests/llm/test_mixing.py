@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sparkrel.llm import mixing
 
@@ -88,3 +89,33 @@ def test_shards_get_disjoint_draws(spark):
     assert len(seen) == len(set(seen))
     shards = {d.shard for r in mixing.plan(df, shards=8, blocks=32).collect() for d in r.draws}
     assert shards == set(range(8))
+
+
+def test_rows_without_an_id_come_near_their_target(spark):
+    rows = [(None, " ".join(["w"] * (1 + i % 5)) + f" n{i}", "a") for i in range(200)] + [(7, f"b{i} c d", "b") for i in range(400)] + [(i, "x y z", "c") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.plan(df, blocks=64).collect()
+    for s in "abc":
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r["size"] * len(r.draws) for r in own) - own[0].target) <= 12
+
+
+def test_shards_are_those_of_the_tree(spark, small):
+    rows = mixing.op10_mixing(spark, small).collect()
+    assert all(r.taken == r["size"] * len(r.shards) for r in rows)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    dealt = mixing.mix(docs).select("doc_id", F.spark_partition_id().alias("p")).collect()
+    assert sorted((r.doc_id, r.p) for r in dealt) == sorted((r.doc_id, s) for r in rows for s in r.shards)
+    # By hand: the tree's shares of each source's block draws, in the order of a fresh permutation for each epoch.
+    draws = mixing.plan(docs).select("source", F.xxhash64("doc_id", "text", F.lit(0)).alias("h"), F.explode("draws").alias("d")).select("source", F.pmod("h", F.lit(512)).alias("b"), "d.*").distinct().collect()
+    sources = sorted({r.source for r in draws}, key=lambda s: (s is None, (s or "").encode()))
+    per = np.array([sum(r.source == s for r in draws) for s in sources])
+    want = mixing.split(per, mixing.SHARDS, 0)
+    assert [[sum(r.source == s and r.shard == i for r in draws) for s in sources] for i in range(mixing.SHARDS)] == want.tolist()
+
+
+def test_clashing_names(spark):
+    names = ["__block", "block", "of_source", "of_block", "draw", "__draw", "target", "k", "b"]
+    df = spark.createDataFrame([(i, f"w{i} v", "s", *range(len(names))) for i in range(20)], "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    assert mixing.mix(df, shards=2).columns == df.columns and set(df.columns) <= set(mixing.plan(df, shards=2).columns)
+    assert all(tuple(r)[3:] == tuple(range(len(names))) for r in mixing.mix(df, shards=2).collect())
