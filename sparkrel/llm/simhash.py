@@ -90,14 +90,12 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def variants() -> list[tuple[int, int]]:
-    """(bits to keep, bits to flip) of every key that a fingerprint emits."""
+def variants() -> list[tuple[int, int, int]]:
+    """(masked block, bits to keep, bits to flip) of every key that a fingerprint emits."""
     out = []
     for j, (low, high) in enumerate(BLOCKS):
-        mask = (1 << high) - (1 << low)
-        keep = ~mask & (1 << 64) - 1
-        # The masked places are free: two of them tell the blocks' keys apart.
-        out += [(_signed(keep), _signed(j << low))] + [(_signed(keep), _signed(j << low ^ 1 << b)) for b in range(64) if not low <= b < high]
+        keep = ~((1 << high) - (1 << low)) & (1 << 64) - 1
+        out += [(j, _signed(keep), 0)] + [(j, _signed(keep), _signed(1 << b)) for b in range(64) if not low <= b < high]
     return out
 
 
@@ -119,12 +117,14 @@ class _Union:
         return True
 
 
-def spanning(prints: np.ndarray, key: int) -> list[tuple[int, int]]:
-    """Index pairs of verified links that connect what the links among *prints* (one key's members) connect."""
+def spanning(prints: np.ndarray, key: int, block: int) -> list[tuple[int, int]]:
+    """Index pairs of verified links that connect what the links among *prints* connect: the members of one key
+    of the block that is masked."""
     n, union, out = len(prints), _Union(len(prints)), []
 
     def link(a, b):
-        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        near = np.bitwise_count(prints[a] ^ prints[b]) <= RADIUS
+        for i, j in zip(a[near].tolist(), b[near].tolist(), strict=True):
             if union.join(i, j):
                 out.append((i, j))
 
@@ -136,11 +136,9 @@ def spanning(prints: np.ndarray, key: int) -> list[tuple[int, int]]:
             link(a[a < b], b[a < b])
         return out
     # Many members: their kept bits are at most one flip from the key, so links follow from the masked bits.
-    for low, high in BLOCKS:
-        mask = np.uint64((1 << high) - (1 << low))
-        flips = (prints ^ np.uint64(key)) & ~mask
-        if int(np.bitwise_count(flips).max()) <= 1:
-            break
+    low, high = BLOCKS[block]
+    mask = np.uint64((1 << high) - (1 << low))
+    flips = (prints ^ np.uint64(key)) & ~mask
     inner = (prints & mask) >> np.uint64(low)
     # Up to one masked bit apart, members are linked whatever their flips.
     order = np.argsort(inner, kind="stable")
@@ -174,35 +172,35 @@ def spanning(prints: np.ndarray, key: int) -> list[tuple[int, int]]:
 
 def links(prints: DataFrame) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fingerprint) that connect all pairs within 3 bits."""
-    shapes = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(x).cast("long").alias("x")) for k, x in variants()])
-    keys = prints.select("fingerprint", F.explode(F.transform(shapes, lambda s: F.col("fingerprint").bitwiseAND(s.k).bitwiseXOR(s.x))).alias("key"))
+    shapes = F.array(*[F.struct(F.lit(j).cast("byte").alias("j"), F.lit(k).cast("long").alias("k"), F.lit(x).cast("long").alias("x")) for j, k, x in variants()])
+    keys = prints.select("fingerprint", F.explode(F.transform(shapes, lambda s: F.struct(s.j.alias("block"), F.col("fingerprint").bitwiseAND(s.k).bitwiseXOR(s.x).alias("key")))).alias("k")).select("fingerprint", "k.block", "k.key")
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keys.repartition(parts, "key").sortWithinPartitions("key", "fingerprint")
+    dealt = keys.repartition(parts, "key").sortWithinPartitions("key", "block", "fingerprint")
 
     def run(batches):
-        rest_k, rest_p = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        rest = [np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0, np.int64)]
         for batch in batches:
-            k = np.concatenate([rest_k, column(batch, "key").to_numpy()])
-            p = np.concatenate([rest_p, column(batch, "fingerprint").to_numpy()])
+            k, b, p = (np.concatenate([r, column(batch, c).to_numpy()]) for r, c in zip(rest, ("key", "block", "fingerprint"), strict=True))
             # The last key may go on in the next batch.
-            whole = int(np.searchsorted(k, k[-1])) if len(k) else 0
-            rest_k, rest_p = k[whole:], p[whole:]
-            yield from _within(k[:whole], p[:whole])
-        yield from _within(rest_k, rest_p)
+            other = np.flatnonzero((k != k[-1]) | (b != b[-1])) if len(k) else ()
+            whole = int(other[-1]) + 1 if len(other) else 0
+            rest = [k[whole:], b[whole:], p[whole:]]
+            yield from _within(k[:whole], b[:whole], p[:whole])
+        yield from _within(*rest)
 
     return map_batches(dealt, "a long, b long", run).distinct()
 
 
-def _within(k: np.ndarray, p: np.ndarray):
+def _within(k: np.ndarray, blocks: np.ndarray, p: np.ndarray):
     if len(k) < 2:
         return
     p = p.view(np.uint64)
-    starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    starts = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (blocks[1:] != blocks[:-1])]))
     sizes = np.diff(np.append(starts, len(k)))
     small = np.repeat(sizes <= 64, sizes)
     a, b = [], []
     for d in range(1, int(sizes[sizes <= 64].max(initial=0))):
-        near = (k[d:] == k[:-d]) & small[d:]
+        near = (k[d:] == k[:-d]) & (blocks[d:] == blocks[:-d]) & small[d:]
         if not near.any():
             break
         at = np.flatnonzero(near)
@@ -211,7 +209,7 @@ def _within(k: np.ndarray, p: np.ndarray):
         b.append(p[at + d])
     for s, n in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
         own = p[s : s + n]
-        if pairs := spanning(own, int(k[s]) & (1 << 64) - 1):
+        if pairs := spanning(own, int(k[s]) & (1 << 64) - 1, int(blocks[s])):
             i, j = np.array(pairs).T
             a.append(own[i])
             b.append(own[j])
@@ -261,6 +259,13 @@ def dedup(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
 
     Of rows that share a doc_id one stays in each group.  Rows without a doc_id cannot be told apart by it, and stay.
     """
+    # Inner names are free of the columns of *docs*.
+    names = docs.columns
+    docs = docs.toDF(*[f"c{i}" if c not in ("doc_id", "text") else c for i, c in enumerate(names)])
+    return _deduped(docs, width, seed).toDF(*names)
+
+
+def _deduped(docs: DataFrame, width: int, seed: int) -> DataFrame:
     found = stored(_rooted(docs, width, seed), "simhash-groups")
     # An id with texts in several groups can be the smallest of one and not of another: its rows are told by text.
     mixed = stored(found.where("doc_id is not null").groupBy(F.col("doc_id").alias("__mixed")).agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("__mixed"), "simhash-mixed")

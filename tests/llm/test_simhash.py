@@ -96,7 +96,7 @@ def test_large_keys_take_another_way():
     for most in (4096, 10):
         simhash.DIRECT, kept = most, simhash.DIRECT
         try:
-            found.append(simhash.spanning(prints, key))
+            found.append(simhash.spanning(prints, key, 0))
         finally:
             simhash.DIRECT = kept
     parts = []
@@ -167,3 +167,30 @@ def test_an_id_with_texts_in_two_groups(spark):
     kept = simhash.dedup(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, root int"))
     assert kept.columns == ["doc_id", "text", "root"]
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(5, a), (2, b), (7, "a lonely third one over here"), (None, a)], key=repr)
+
+
+def test_a_key_that_two_blocks_share(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "DIRECT", 10)
+    rng = np.random.default_rng(7)
+    base, prints = int(rng.integers(0, 1 << 62)), set()
+    # Two families that meet in one key value: what either has outside of its own masked block is the same.
+    for low, high in ((0, 21), (21, 42)):
+        kept = base & ~((1 << high) - (1 << low)) & (1 << 64) - 1
+        kept &= ~((1 << 42) - 1)
+        for _ in range(150):
+            prints.add(kept | int(rng.integers(0, 1 << 21)) << low)
+        for _ in range(40):
+            prints.add(kept | (int(rng.integers(0, 1 << 21)) & 0b111111) << low)
+    prints = sorted(prints)
+    df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fingerprint long")
+    for r in simhash.links(df).collect():
+        assert ((r.a ^ r.b) & (1 << 64) - 1).bit_count() <= 3
+    assert same(roots(prints), linked(spark, prints))
+
+
+def test_dedup_keeps_clashing_names(spark):
+    names = ["__gone", "__mixed", "__twice", "c0", "fingerprint", "root", "component_id"]
+    rows = [(1, "one two three four"), (2, "one two three four"), (3, "something else altogether here"), (None, None)]
+    df = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    got = simhash.dedup(df)
+    assert got.columns == df.columns and sorted(str(r.doc_id) for r in got.collect()) == ["1", "3", "None"]
