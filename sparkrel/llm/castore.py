@@ -3,10 +3,12 @@
 Each document's id stream is cut where a rolling hash of the last ids meets a mask, so equal passages give
 equal chunks wherever they stand.  Chunks are named by the BLAKE2b hash of their ids; packs hold each chunk
 once.  A recipe lists a document's chunks; recipe files hold documents in ascending doc_id order.  Merkle
-trees run from chunk hashes over documents to files; reading recomputes all of them.
+trees run from chunk hashes over documents to files, and one over the manifest's files to the store's root, which is
+kept beside it; reading recomputes all of them, so a lost file or manifest row is an error.
 
 One shuffle carries chunks (to the pack that their hash names) and recipes (to the file of their doc_id
-range).  Copies of a chunk are dropped inside each map batch, before the shuffle.
+range).  Copies of a chunk are dropped before the shuffle, in each task, so that a passage that all documents
+hold reaches its pack once a task at most; packs drop the rest as they stream by in order.
 
 File layout, little-endian: 8 bytes of magic; blocks of u32 packed size, u32 raw size, zstd frame; a block of
 packed size 0; the file's 32-byte Merkle root.  A pack's raw block: entries of 16-byte hash, u32 count of ids,
@@ -36,6 +38,8 @@ PACK, RECIPES = b"IDPACK01", b"IDRECP01"
 LEAST, USUAL, MOST = 64, 256, 1024
 WINDOW, BASE = 8, 0x9E3779B97F4A7C15
 BLOCK = 1 << 20
+#: Names of chunks that a task remembers having sent, twice (some 100 bytes each); more are sent again, to no harm.
+SEEN = 100_000
 ENTRY, RECIPE = "<16sIB", "<BqQI32s"
 
 # ---------------------------------------------------------------- chunks and trees
@@ -114,6 +118,8 @@ def _tokenized(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int],
         enc = encoder(tokenizer)
         end, limits = np.array([end_id], enc.dtype).tobytes(), np.array(bounds, np.int64)
         width = enc.dtype.itemsize
+        seen: dict[bytes, None] = {}
+        older: dict[bytes, None] = {}
         for batch in batches:
             all_texts, doc_ids = texts(batch), column(batch, "doc_id").to_pylist()
             # Runs small enough that the rolling hash stays in the processor's cache.
@@ -127,7 +133,10 @@ def _tokenized(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int],
                 starts = np.concatenate([[0], ends[:-1]])
                 names = [name_of(wide[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 sizes = (ends - starts).astype("<u4")
-                once = dict(zip(names, range(len(names)), strict=True))
+                once = {x: i for i, x in enumerate(names) if x not in seen and x not in older}
+                if len(seen) > SEEN:
+                    seen, older = {}, seen
+                seen.update(dict.fromkeys(names))
                 at = list(once.values())
                 yield _rows([int.from_bytes(x[:4], "little") % packs for x in once], list(once), [None] * len(at), sizes[at].astype(np.int64), [raw[width * starts[i] : width * ends[i]] for i in at])
                 listed, bodies, c = [x + s.tobytes() for x, s in zip(names, sizes, strict=True)], [], 0
@@ -250,11 +259,22 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary()], strict=True)], names=["path", "kind", "slot", "entries", "n_ids", "root"])
 
     map_batches(dealt, MANIFEST, run).write.parquet(f"{path}/manifest")
+    with writing(f"{path}/root") as f:
+        f.write(_root(spark, path))
     return open_store(spark, path)
 
 
+def _root(spark: SparkSession, path: str) -> bytes:
+    """The Merkle root over the manifest; the driver reads one row a file."""
+    rows = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").orderBy("slot").collect()
+    return merkle([struct.pack("<iqq", r.slot, r.entries, r.n_ids) + r.kind.encode() + bytes(r.root) for r in rows])
+
+
 def open_store(spark: SparkSession, path: str) -> DataFrame:
-    """The manifest of a stored set of documents."""
+    """The manifest of a stored set of documents, after it was held against the store's root."""
+    with reading(f"{path}/root") as f:
+        if f.read() != _root(spark, path):
+            raise StoreError(f"{path}: the manifest differs from the store's root")
     return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
 
 

@@ -117,3 +117,22 @@ def test_a_changed_byte_is_found(spark):
     open(path, "wb").write(raw)
     with pytest.raises(Exception, match="root differs"):
         castore.read_digests(manifest).collect()
+
+
+def test_a_lost_manifest_row_is_found(spark):
+    path = shared_dir(spark, "test")
+    manifest = castore.write(spark.createDataFrame([(i, f"some words {i} " * 50) for i in range(20)], "doc_id long, text string"), path, default_path())
+    rows = manifest.collect()
+    spark.createDataFrame(rows[1:], manifest.schema).write.mode("overwrite").parquet(f"{path}/manifest")
+    with pytest.raises(castore.StoreError, match="manifest"):
+        castore.open_store(spark, path)
+
+
+def test_castore_query(spark, small):
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect())
+    got, start = {r.doc_id: r for r in castore.op8_castore(spark, small).collect()}, 0
+    assert len(got) == len(docs)
+    for i, t in docs:
+        raw = library(t, 2)
+        assert tuple(got[i]) == (i, start, len(raw) // 4, zlib.crc32(raw))
+        start += len(raw) // 4
