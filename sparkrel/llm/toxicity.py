@@ -7,10 +7,9 @@ goes to the word's stem (its first letters), whose counts in the class are disco
 counts that both classes share: in how many of the classes a stem, and a word within its stem, occurs at all.  Either
 model's probabilities sum to one over the words that are known, an unknown one in each stem, and an unknown stem.
 
-A document is scored by length-normalised log-likelihoods, toxic against ordinary: over the whole of it, over its
-passages of 16 and of 4 words (the most toxic of each), and over its two most toxic words, as two insults among 3000
-words leave no trace in the mean of all.  A logistic curve over these four, fitted on labelled documents kept apart
-from the counts, makes a probability of them.
+A document is scored by length-normalised log-likelihoods, toxic against ordinary: over the whole of it, and over its
+two most toxic words, as two insults among 3000 words leave no trace in the mean of all.  A logistic curve over both,
+fitted on labelled documents kept apart from the counts, makes a probability of them.
 
 Counts come from labelled rows only, at most ``per_class`` of either class (by hash order), which bounds the
 model that is sent to the workers.  Scoring is a map over all documents.
@@ -31,8 +30,8 @@ from .common import Memo, add_columns, column, fresh, held_out, labelled, map_ba
 
 EDGE = ".,;:!?\"'()[]{}|*#$%&@-_/\\<>=+~`^«»“”„…¿¡"
 STEM = 4
-#: Words in the passages that are compared, and the number of words that count by themselves.
-PASSAGES, SINGLE = (16, 4), 2
+#: The number of words that count by themselves; false alarms that a missed document weighs as much as.
+SINGLE, MISSED = 2, 3.0
 
 
 def expression(raw: str) -> str:
@@ -113,18 +112,16 @@ class Model:
 
 
 def features(text: str, memo: Memo) -> list[float]:
-    """Length-normalised log-likelihood ratios: of the whole text, of its most toxic passages, of its most toxic words."""
+    """Length-normalised log-likelihood ratios: of the whole text, of its most toxic words."""
     words = text.lower().split()
     if not words:
-        return [0.0] * (len(PASSAGES) + 2)
+        return [0.0, 0.0]
     r = np.fromiter(map(memo.__getitem__, words), np.float64, len(words))
-    sums = np.concatenate([[0.0], np.cumsum(r)])
-    best = [float((sums[w:] - sums[:-w]).max() if len(r) > w else sums[-1]) / w for w in PASSAGES]
     top = np.partition(r, -SINGLE)[-SINGLE:] if len(r) > SINGLE else r
-    return [float(r.mean()), *best, float(top.sum()) / SINGLE]
+    return [float(r.mean()), float(top.sum()) / SINGLE]
 
 
-NAMES = ["mean", *(f"best{w}" for w in PASSAGES), "top"]
+NAMES = ["mean", "top"]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1) -> np.ndarray:
@@ -164,10 +161,10 @@ def score(docs: DataFrame, labels: DataFrame, per_class: int = 3_000) -> DataFra
     y = np.array([r.label for r in tried], np.float64)
     if len(set(y.tolist())) < 2:
         return docs.withColumn(out, F.lit(0.5))
-    # As many of either class as all labels have, not as the sample.
+    # As many of either class as all labels have, not as the sample; toxic ones weigh more.
     of_class = dict(labels.where("toxic is not null").groupBy("toxic").count().collect())
     share = {k: of_class.get(k, 1) / max(1, (y == k).sum()) for k in (0, 1)}
-    weight = np.where(y == 1, share[1], share[0])
+    weight = np.where(y == 1, share[1] * MISSED, share[0])
     curve = logistic(np.array([r[1:] for r in tried], np.float64), y, weight * len(y) / weight.sum())
 
     def each():
