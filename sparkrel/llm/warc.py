@@ -5,9 +5,10 @@ frame that holds a dictionary, built from the first records of that archive; the
 its own, compressed with that dictionary, so any record can be read with the dictionary and its offset alone.
 Equal payloads are written once; the others are revisit records without a body.
 
-Deciding who revisits whom takes one shuffle of digests, then one shuffle of pages by digest.  Payloads of
-revisits are dropped before it, and digests that hold over 1/1000 of all rows (so at most 1000 of them) are
-told apart by a broadcast, so that no task gets a hot digest's pages.
+Deciding who revisits whom takes one shuffle of digests.  The repeated ones are broadcast while there are few of
+them, so pages stay where they are; beyond that pages are shuffled by digest, payloads and all, but for digests that
+hold over 1/1000 of all rows (so at most 1000 of them): these are told apart by a broadcast and their revisits'
+payloads dropped before, so that no task gets a hot digest's pages.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ LEAST = 1000
 TRAINING, DICT_SIZE = 4 << 20, 64 << 10
 #: Bytes of records, before compression, after which a new archive is begun.
 ARCHIVE = 256 << 20
-#: A digest with over this share of all rows is broadcast.
-HOT = 1000
+#: A digest with over this share of all rows is broadcast; so many repeated ones (100 bytes each) are all broadcast.
+HOT, BROADCAST_ROWS = 1000, 200_000
 
 
 # ---------------------------------------------------------------- records
@@ -146,6 +147,8 @@ def roles(pages: DataFrame) -> DataFrame:
     long = F.col("payload_bytes") >= LEAST
     sums = rows.where(long).groupBy(F.col("payload_digest").alias("d")).agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     sums = stored(sums, "warc-digests")
+    if sums.count() <= BROADCAST_ROWS:
+        return _told(rows.join(F.broadcast(sums.select("d", "first")), long & (F.col("payload_digest") == F.col("d")), "left"))
     total = pages.count()
     hot = sums.where(F.col("n") > total / HOT).select(F.col("d").alias("hot_d"), F.col("first").alias("hot_first"))
     rest = sums.where(F.col("n") <= total / HOT).select("d", F.col("first").alias("rest_first"))
@@ -156,7 +159,11 @@ def roles(pages: DataFrame) -> DataFrame:
     told = told.withColumn("key", F.when(long & F.col("hot_d").isNull(), F.col("payload_digest")).otherwise(own))
     revisits = F.col("hot_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("hot_first"))
     told = told.withColumn("payload", F.when(~revisits, F.col("payload")))
-    joined = told.join(rest, told["key"] == rest["d"], "left").withColumn("first", F.coalesce("hot_first", "rest_first"))
+    return _told(told.join(rest, told["key"] == rest["d"], "left").withColumn("first", F.coalesce("hot_first", "rest_first")))
+
+
+def _told(joined: DataFrame) -> DataFrame:
+    """The columns of roles(), from rows with the largest page_id of their payload, if it is repeated."""
     other = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select("page_id", "url", F.when(~other, F.col("payload")).alias("payload"), "payload_bytes", "payload_digest", F.when(other, "revisit").otherwise("response").alias("record_type"), F.when(other, F.col("first")).alias("refers_to"))
 

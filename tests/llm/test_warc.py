@@ -42,8 +42,10 @@ def test_odd_pages(spark):
     assert read(spark, []).count() == 0
 
 
-def test_a_hot_payload(spark):
-    # One payload makes up most rows: it is told apart by the broadcast.
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_a_hot_payload(spark, monkeypatch, most):
+    # One payload makes up most rows: it is told apart by the broadcast, of all repeated digests or of the hot ones.
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", most)
     rows = [(i, f"u{i}", LONG if i % 3 else f"{LONG}{i // 30}") for i in range(2000)]
     got = read(spark, rows).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
     assert sorted(map(tuple, got)) == sorted(expected(rows))
