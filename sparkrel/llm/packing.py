@@ -30,9 +30,10 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1)
     """One row a piece: doc_id, start, length, doc_tokens, sequence_id, offset, bucket, ids.
 
     *docs* has doc_id and text; other columns are ignored.  A null or empty text has the end id alone, so one
-    piece.  ids are little-endian unsigned 32-bit.  bucket is the base-2 logarithm of length.  sequence_id is
-    the partition's number times 2^33 plus a counter: unique, and the same when a lost task runs again.
-    *longest* is a power of two.  Repeated rows are packed each time; an empty table gives no rows.
+    piece, and texts of any length are packed whole.  ids are little-endian unsigned 32-bit.  bucket is the base-2
+    logarithm of length.  sequence_id is the partition's number times 2^33 plus a counter: unique, and the same when a
+    lost task runs again, but another where the table is split otherwise.  *longest* is a power of two.  Other columns,
+    whatever their names, are not read.  Repeated rows are packed each time; an empty table gives no rows.
     """
     if longest < 1 or longest & longest - 1:
         raise ValueError("longest must be a power of two")
@@ -64,6 +65,11 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1)
     return map_batches(src, f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, bucket int, ids binary", run)
 
 
+def write_buckets(pieces: DataFrame, path: str) -> None:
+    """Store the pieces in a folder for each length, so that batches of one length are read without the others."""
+    pieces.write.partitionBy("bucket").parquet(path)
+
+
 def digests(pieces: DataFrame) -> DataFrame:
     """The pieces with the CRC of their ids instead of the ids."""
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")

@@ -136,3 +136,13 @@ def test_castore_query(spark, small):
         raw = library(t, 2)
         assert tuple(got[i]) == (i, start, len(raw) // 4, zlib.crc32(raw))
         start += len(raw) // 4
+
+
+def test_buckets_hold_one_length_each(spark, tmp_path):
+    df = spark.createDataFrame([(i, "some words here " * i) for i in range(30)], "doc_id long, text string")
+    pieces = packing.pack(df, default_path())
+    packing.write_buckets(pieces, f"file://{tmp_path}/b")
+    for b in {r.bucket for r in pieces.select("bucket").distinct().collect()}:
+        own = spark.read.parquet(f"file://{tmp_path}/b/bucket={b}").collect()
+        assert own and all(r.length == 1 << b == len(r.ids) // 4 for r in own)
+    assert spark.read.parquet(f"file://{tmp_path}/b").count() == pieces.count()
