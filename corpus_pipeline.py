@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkrel.llm import lines, mixing, packing, quality, simhash
-from sparkrel.llm.common import stored, table
+from sparkrel.llm.common import discard, stored, table
 from sparkrel.llm.tokens import default_path
 
 
@@ -19,7 +19,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that repeat an earlier one, up to 2 edits or a share of the words."""
+    """Texts without the lines that repeat an earlier one, up to 2 edits."""
     return lines.dedup(docs)
 
 
@@ -46,7 +46,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply every stage to ``documents``, each written and read again before the next."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)  # what the stage has read
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
