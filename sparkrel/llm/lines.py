@@ -14,9 +14,9 @@ emits keys of both lengths.
 Keys of one line only, nearly all, end in a pre-aggregated sum.  The lines of the others are read, and their keys
 made again: within a key of up to ``DENSE`` lines all pairs are compared by numbers (lengths, letters); beyond it the
 shared segment is cut out, and what is left of the lines, which must be within the limit too, is joined in the same
-way within the key, and so on (but not for a key all of whose lines share an earlier one's).  So lines that share long passages, and differ everywhere in between, make pairs in
-proportion to those that are alike, not all pairs.  What passes is verified on the whole lines by bit-parallel edit
-distance in a band of 2 * limit + 1 diagonals.
+way within the key, and so on (but not for a key all of whose lines share an earlier one's).  So lines that share long
+passages, and differ everywhere in between, make pairs in proportion to those that are alike, not all pairs.  What
+passes is verified on the whole lines by bit-parallel edit distance in a band of 2 * limit + 1 diagonals.
 
 Texts are never shuffled: keys and ids are, and the lines of candidates.
 """

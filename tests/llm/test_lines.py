@@ -80,9 +80,10 @@ def test_odd_documents(spark):
     s = "the quick brown fox jumps over the lazy dog again"
     rows = [(1, f"{s}\n\n  short\n{s.upper()} "), (2, f"short\r\n{s}!\n{s[:20]}X{s[21:]}"), (3, None), (4, ""), (5, "\n\n"), (6, f"{s} and more than two"), (None, s), (7, "tail é" * 10), (8, "tail e" * 1 + "tail é" * 9), (9, "w " * 30_000), (10, "w " * 30_000)]
     df = check(spark, rows)
-    out = {r.doc_id: r.text for r in lines.dedup(df).collect()}
+    kept = lines.dedup(df)
+    out = {r.doc_id: r.text for r in kept.collect()}
     assert out[1] == f"{s}\n\n  short" and out[2] == "" and out[3] is None and out[4] == "" and out[5] == "\n\n" and out[None] == "" and out[10] == "" and out[9] == "w " * 30_000
-    assert lines.dedup(df).columns == df.columns
+    assert kept.columns == df.columns
     assert lines.memberships(df.limit(0)).count() == 0 and lines.dedup(df.limit(0)).count() == 0
 
 
@@ -105,7 +106,7 @@ def test_query_has_every_line(spark, small):
     assert tuple(got.agg(F.count("*"), F.countDistinct("line_id")).first()) == want
 
 
-@pytest.mark.parametrize("dense", [12])
+@pytest.mark.parametrize("dense", [24])
 def test_crowded_keys_are_divided(spark, monkeypatch, dense):
     monkeypatch.setattr(lines, "DENSE", dense)
     rng = random.Random(dense)
@@ -144,9 +145,8 @@ def test_clashing_names_and_null_ids(spark):
     out = lines.dedup(df)
     assert out.columns == df.columns
     # Of equal lines in documents without an id only one stays; two texts under one id are two documents.
-    assert sorted(str(r.text) for r in out.collect()) == ["None", "\nthe first of its own".strip(), "a line that all have", "another one", "second"] or sorted(str(r.text) for r in out.collect()) == sorted(["None", "the first of its own", "second", "a line that all have", "another one"])
+    assert sorted(str(r.text) for r in out.collect()) == ["None", "a line that all have", "another one", "second", "the first of its own"]
     assert all(tuple(r)[2:] == tuple(range(len(names))) for r in out.collect())
-    lines.memberships(df).collect()
 
 
 def test_query_against_brute_force(spark, small, tmp_path):
