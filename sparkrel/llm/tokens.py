@@ -14,8 +14,8 @@ from array import array
 
 import numpy as np
 
-#: Pieces kept in a worker at most, with as many of those before (some 200 bytes each). It changes speed only.
-KEPT = 250_000
+#: Pieces kept in a worker at most (some 200 bytes each); beyond it the store starts anew. It changes speed only.
+KEPT = 1_000_000
 #: Longer pieces are encoded each time.
 LONG = 40
 #: Marks that the splitting pattern keeps apart from the letters before them.
@@ -35,22 +35,12 @@ class _Known(dict):
     """Ids of words; an unknown word is noted and stands as None until its ids are known."""
 
     def __init__(self, before: str) -> None:
-        self.before, self.asked, self.whole, self.old = before, [], False, {}
-
-    def renew(self) -> None:
-        """Start anew; what was known is taken over as it is met."""
-        self.old = dict(self)
-        self.clear()
-
-    def __missing__(self, word: str) -> bytes | None:
-        found = self.old.get(word)
-        if found is not None:
-            self[word] = found
-            return found
+        self.before, self.asked, self.whole = before, [], False
+
+    def __missing__(self, word: str) -> None:
         if not word or word[0].isspace() or word[-1].isspace():
             self.whole = True
         self.asked.append(word)
-        return None
 
 
 class Encoder:
@@ -79,8 +69,8 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian, of ``self.dtype``."""
         if len(self.first) + len(self.after) > KEPT:
-            self.first.renew()
-            self.after.renew()
+            self.first.clear()
+            self.after.clear()
         first, after, line_end = self.first, self.after, self.line
         get, docs, whole = after.__getitem__, [], []
         for i, text in enumerate(texts):
